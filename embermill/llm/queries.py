@@ -22,6 +22,18 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_digest(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixing_digest
+
+    return mixing_digest(load(spark, sf_dir, "documents"))
+
+
+def op4_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal import personal_digest
+
+    return personal_digest(load(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packing_digest
 
