@@ -9,14 +9,22 @@ tokenizers of any other make are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker keeps; others are encoded once for each run of texts (speed only, never results).
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -27,8 +35,13 @@ def encoder(tokenizer_json: str) -> "PieceEncoder":
     return _ENCODERS[key]
 
 
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The end id behind each text's ids."""
+    return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+
+
 class PieceEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
+    """Ids of whole texts; ``flat`` gives one array for a run of texts."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,37 +52,121 @@ class PieceEncoder:
         self.mode = _mode(json.loads(tokenizer_json))
         self.cache: dict[str, bytes | None] = {}
         self.marks = {"": b""} | {m: self._whole([m])[0] for m in ",.;:!?"}
+        self.line = self._whole(["\n"])[0]
         self.between = -1
+        self.bare = None
+        if self.mode == "words":
+            from tokenizers import pre_tokenizers as pt
+
+            self.bare = Tokenizer.from_str(tokenizer_json)
+            self.bare.encode_special_tokens = True
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pt.Sequence(
+                [pt.WhitespaceSplit(), pt.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
         if self.mode != "whole":
             one = self._whole(["0" if self.mode == "words" else " 0"])[0]
             self.between = int(np.frombuffer(one, "<u4")[0]) if len(one) == 4 else -1
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [
-            array("I", e.ids).tobytes()
-            for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        ]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian uint32 bytes."""
+        out: list[bytes] = []
+        for ids, ends in self.flat(pa.array(texts, pa.string())):
+            raw, at = memoryview(ids.tobytes()), 0
+            for end in ends.tolist():
+                out.append(bytes(raw[4 * at : 4 * end]))
+                at = end
+        return out
+
+    def flat(self, texts: pa.Array, run_bytes: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of texts: (ids of all of them, end of each text's ids)."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < len(texts):
+            n = int(np.searchsorted(np.cumsum(sizes[start:]), run_bytes)) + 1
+            yield self._run(texts.slice(start, n))
+            _give_back()
+            start += n
+
+    def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.mode == "whole":
+            each = self._whole(texts.to_pylist())
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(e) // 4 for e in each])
+        if self.mode == "words":
+            # The tokenizer lowers letters itself: done first, it makes fewer pieces.
+            cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        else:
+            cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy())
+        starts = np.concatenate([[0], ends[:-1]])
+        spare = self._learn(set(names))
+        each = list(map(self.cache.__getitem__, names))
+        for piece in spare:
+            self.cache.pop(piece, None)
+        odd: list[int] = []
+        if self.mode == "leading":
+            firsts = [names[i] for i in at[starts].tolist()]
+            bad = np.fromiter((e is None for e in each), bool, len(each))
+            if bad.any():
+                hit = bad[at]
+                hit[starts] = [n > 1 and f[-1:].isspace() for f, n in zip(firsts, (ends - starts).tolist())]
+                odd = np.flatnonzero(np.logical_or.reduceat(hit, starts)).tolist()
+                each = [e or b"" for e in each]
+            at[starts] = len(each) + np.arange(len(texts))
+            heads = self._whole(firsts)
+            for i in odd:  # a piece of these touches other white space
+                heads[i] = self._whole([texts[i].as_py()])[0]
+            each += heads
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        if odd:
+            skip = np.zeros(len(at), bool)
+            for i in odd:
+                skip[starts[i] + 1 : ends[i]] = True
+            each.append(b"")
+            sizes = np.append(sizes, 0)
+            at[skip] = len(each) - 1
+        lists = pa.ListArray.from_arrays(
+            np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
+            pa.array(np.frombuffer(b"".join(each), "<u4")),
+        )
+        ids = lists.take(pa.array(at)).flatten().to_numpy()
+        total = np.concatenate([[0], np.cumsum(sizes[at])])
+        return ids, total[ends]
 
     def _learn(self, pieces: set[str]) -> list[str]:
         """Cache the pieces; gives those to forget again after this run.
 
-        A word with one mark behind it is the word's ids and the mark's: letters
-        and marks are apart in every pre-split that this class takes.
+        A word with one mark behind it, or a line's last and the next line's first
+        word, are their parts' ids: letters, marks and a single line feed between
+        them are apart in every pre-split that this class takes.
         """
         cache, marks, plain = self.cache, self.marks, self.mode == "words"
         new = pieces.difference(cache)
-        made, stems = [], set()
+        made, stems, heads = [], set(), set()
         for p in new:
             mark = p[-1:]
-            if mark in marks and p[:-1].isalpha():
-                stem = p[:-1]
+            if p.isalpha():
+                stems.add(p)
+            elif mark in marks and p[:-1].isalpha():
+                made.append((p, p[:-1], marks[mark], None))
+                stems.add(p[:-1])
+            elif "\n" in p:
+                left, _, right = p.partition("\n")
+                mark = left[-1:] if left[-1:] in marks else ""
+                stem = left[: len(left) - len(mark)]
+                if stem.isalpha() and right.isalpha():
+                    made.append((p, stem, marks[mark] + self.line, right))
+                    stems.add(stem)
+                    heads.add(right)
+                else:
+                    stems.add(p)
             else:
-                stem, mark = p, ""
-            if plain and stem.isascii():
-                stem = stem.lower()
-            if stem is not p:
-                made.append((p, stem, mark))
-            stems.add(stem)
+                stems.add(p)
         stems.difference_update(cache)
         if "" in stems:
             stems.discard("")
@@ -78,77 +175,58 @@ class PieceEncoder:
         if not plain:
             cache.update((p, None) for p in order if p[0].isspace() or p[-1].isspace())
             order = [p for p in order if p not in cache]
+        head_ids = dict(zip(heads, self._whole(list(heads))))
         for i in range(0, len(order), 20_000):
             part = order[i : i + 20_000]
             cache.update(zip(part, self._apart(part)))
-        for p, stem, mark in made:
-            cache[p] = cache[stem] + marks[mark]
+        for p, stem, mark, head in made:
+            cache[p] = cache[stem] + mark + (head_ids[head] if head else b"")
         new |= stems
         keep = CACHE_PIECES - (len(cache) - len(new))
         return list(new)[max(0, keep) :]
 
     def _apart(self, pieces: list[str]) -> list[bytes]:
-        """Each piece's ids, by encoding runs of pieces with a digit between them."""
+        """Each piece's ids, by encoding runs of pieces with a digit between them.
+
+        Plain lower-case words of a tokenizer that drops white space need neither
+        its normalizer nor its pre-split: they go to its model directly.
+        """
         lead = "" if self.mode == "words" else " "
-        odd = [i for i, p in enumerate(pieces) if "0" in p or p.isspace() or not p.isprintable()]
         out: list[bytes] = [b""] * len(pieces)
-        for i, ids in zip(odd, self._whole([lead + pieces[i] for i in odd])):
+        groups: dict[str, list[int]] = {"plain": [], "rest": [], "odd": []}
+        for i, p in enumerate(pieces):
+            if "0" in p or not p.isprintable() or p.isspace():
+                groups["odd"].append(i)
+            elif self.bare is not None and p.isascii() and p.isalpha():
+                groups["plain"].append(i)
+            else:
+                groups["rest"].append(i)
+        for i, ids in zip(groups["odd"], self._whole([lead + pieces[i] for i in groups["odd"]])):
             out[i] = ids
-        skip = set(odd)
-        rest = [i for i in range(len(pieces)) if i not in skip]
-        for k in range(0, len(rest), 500):
-            run = rest[k : k + 500]
-            text = " 0 ".join([pieces[i] for i in run])
-            ids = np.asarray(self.tokenizer.encode(lead + text, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.between)
-            if len(ends) != len(run) - 1:
-                for i, own in zip(run, self._whole([lead + pieces[i] for i in run])):
-                    out[i] = own
+        for name, tokenizer in (("plain", self.bare), ("rest", self.tokenizer)):
+            runs = [groups[name][k : k + 200] for k in range(0, len(groups[name]), 200)]
+            if not runs:
                 continue
-            raw, at = ids.tobytes(), 0
-            for i, end in zip(run, [*ends.tolist(), len(ids)]):
-                out[i] = raw[4 * at : 4 * end]
-                at = end + 1
+            texts = [lead + " 0 ".join([pieces[i] for i in run]) for run in runs]
+            for run, e in zip(runs, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(ids == self.between)
+                if len(ends) != len(run) - 1:
+                    for i, own in zip(run, self._whole([lead + pieces[i] for i in run])):
+                        out[i] = own
+                    continue
+                raw, at = ids.tobytes(), 0
+                for i, end in zip(run, [*ends.tolist(), len(ids)]):
+                    out[i] = raw[4 * at : 4 * end]
+                    at = end + 1
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.mode == "whole":
-            return self._whole(texts)
-        out: list[bytes] = []
-        start = 0
-        while start < len(texts):
-            size, end = 0, start
-            while end < len(texts) and (size < 8_000_000 or end == start):
-                size += len(texts[end])
-                end += 1
-            out += self._some(texts[start:end])
-            start = end
-        return out
 
-    def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        pieces: set[str] = set()
-        if self.mode == "leading":
-            firsts = self._whole([c[0] for c in cut])
-            cut = [c[1:] for c in cut]
-        for c in cut:
-            pieces.update(c)
-        spare = self._learn(pieces)
-        get = self.cache.__getitem__
-        out = []
-        if self.mode != "leading":
-            out = [b"".join(map(get, c)) for c in cut]
-            firsts = []
-        for text, first, c in zip(texts, firsts, cut):
-            try:
-                if c and text.split(" ", 1)[0][-1:].isspace():
-                    raise TypeError
-                out.append(first + b"".join(map(get, c)))
-            except TypeError:  # a piece that touches other white space
-                out.append(self._whole([text])[0])
-        for piece in spare:
-            self.cache.pop(piece, None)
-        return out
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def _mode(spec: dict) -> str:

@@ -130,22 +130,27 @@ def pack_documents(
     groups = max(1, -(-docs.count() // group_docs))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from embermill.llm.encoding import encoder
+        from embermill.llm.encoding import encoder, with_end
 
         enc = encoder(shared.value)
         small = enc.tokenizer.get_vocab_size() <= 65_536 and end_id < 65_536
-        tail = np.asarray([end_id], "<u4")
+        kind = "<u2" if small else "<u4"
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                packed = []
-                for ids in enc.encode(part.column("text").to_pylist()):
-                    all_ids = np.concatenate([np.frombuffer(ids, "<u4"), tail])
-                    packed.append((all_ids.astype("<u2") if small else all_ids).tobytes())
+            done = 0
+            for ids, ends in enc.flat(batch.column("text")):
+                ids, ends = with_end(ids, ends, end_id)
+                part = batch.slice(done, len(ends))
+                width = 2 if small else 4
+                raw = pa.Array.from_buffers(
+                    pa.binary(),
+                    len(ends),
+                    [None, pa.py_buffer(np.concatenate([[0], ends * width]).astype(np.int32)), pa.py_buffer(ids.astype(kind))],
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("bucket"), pa.array([2 if small else 4] * len(packed), pa.int32()), pa.array(packed, pa.binary())],
+                    [part.column("doc_id"), part.column("bucket"), pa.array([width] * len(ends), pa.int32()), raw],
                     names=["doc_id", "bucket", "width", "ids"],
                 )
+                done += len(ends)
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()

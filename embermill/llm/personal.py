@@ -73,7 +73,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
     def luhn(s: Column) -> Column:
         digits = F.translate(s["hit"], " -", "")
-        return F.length(digits).between(16, 19) & F.luhn_check(digits)
+        return F.length(digits).between(16, 19) & F.call_function("luhn_check", digits)
 
     def number(s: Column) -> Column:
         return F.length(F.translate(s["hit"], "+ ().-", "")).between(8, 15)
@@ -137,19 +137,14 @@ def features(text: Column, kind: int, s: Column) -> list[Column]:
 
 def candidates(text: Column) -> Column:
     """array<struct<kind,start,end,f>> of what the generators propose."""
-    found = []
-    for k, (name, pattern) in enumerate(GENERATORS.items(), len(BASE_KINDS)):
-        spans = F.transform(
-            positions(text, pattern),
-            lambda s, k=k: F.struct(
-                F.lit(k).alias("kind"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                F.array(*[f.cast("double") for f in features(text, k, s)]).alias("f"),
-            ),
-        )
-        found.append(spans)
-    return F.concat(*found)
+    def proposed(kind: int, pattern: str) -> Column:
+        def span(s: Column) -> Column:
+            own = F.array(*[f.cast("double") for f in features(text, kind, s)])
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), own.alias("f"))
+
+        return F.transform(positions(text, pattern), span)
+
+    return F.concat(*[proposed(k, p) for k, p in enumerate(GENERATORS.values(), len(BASE_KINDS))])
 
 
 # ---------------------------------------------------------------- boosted trees

@@ -34,6 +34,12 @@ def op4_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_digest(load(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_digest
+
+    return license_digest(load(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packing_digest
 

@@ -104,20 +104,18 @@ def write_store(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from embermill.llm.encoding import encoder
+        from embermill.llm.encoding import encoder, with_end
 
         enc = encoder(shared.value)
-        tail = np.asarray([end_id], "<u4").tobytes()
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         ids_of: list[int | None] = []
         sizes: list[int] = []
         total = 0
 
         def close() -> pa.RecordBatch:
             nonlocal segment, first, total
-            ids = np.frombuffer(b"".join(held), "<u4")
-            payload, ends = pack_segment(ids, block_ids, planes, level)
+            payload, ends = pack_segment(np.concatenate(held), block_ids, planes, level)
             columns = {
                 "shard": pa.array([shard], pa.int32()),
                 "segment": pa.array([segment], pa.int32()),
@@ -135,16 +133,23 @@ def write_store(
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names = batch.column("doc_id").to_pylist()
-            for i in range(0, len(texts), 4096):
-                for name, ids in zip(names[i : i + 4096], enc.encode(texts[i : i + 4096])):
-                    held += (ids, tail)
-                    ids_of.append(name)
-                    sizes.append(len(ids) // 4 + 1)
-                    total += sizes[-1]
+            names, done = batch.column("doc_id").to_pylist(), 0
+            for ids, ends in enc.flat(batch.column("text")):
+                ids, ends = with_end(ids, ends, end_id)
+                starts = np.concatenate([[0], ends[:-1]])
+                lo = 0
+                while lo < len(ends):
+                    # up to the first document that fills the segment
+                    hi = int(np.searchsorted(ends, starts[lo] + segment_ids - total)) + 1
+                    hi = min(hi, len(ends))
+                    held.append(ids[starts[lo] : ends[hi - 1]])
+                    ids_of += names[done + lo : done + hi]
+                    sizes += (ends[lo:hi] - starts[lo:hi]).tolist()
+                    total += int(ends[hi - 1] - starts[lo])
+                    lo = hi
                     if total >= segment_ids:
                         yield close()
+                done += len(ends)
         if sizes:
             yield close()
 
