@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 CACHE_PIECES = 250_000
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-8, 1)  # M_ARENA_MAX: one heap, so that trimming gives all of it back
 except OSError:
     _LIBC = None
 _ENCODERS: dict[str, "PieceEncoder"] = {}
@@ -104,7 +105,7 @@ class PieceEncoder:
         names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
         ends = np.cumsum(pc.list_value_length(cut).to_numpy())
         starts = np.concatenate([[0], ends[:-1]])
-        spare = self._learn(set(names))
+        spare = self._learn(names)
         each = list(map(self.cache.__getitem__, names))
         for piece in spare:
             self.cache.pop(piece, None)
@@ -138,7 +139,7 @@ class PieceEncoder:
         total = np.concatenate([[0], np.cumsum(sizes[at])])
         return ids, total[ends]
 
-    def _learn(self, pieces: set[str]) -> list[str]:
+    def _learn(self, pieces: list[str]) -> list[str]:
         """Cache the pieces; gives those to forget again after this run.
 
         A word with one mark behind it, or a line's last and the next line's first
@@ -146,7 +147,7 @@ class PieceEncoder:
         them are apart in every pre-split that this class takes.
         """
         cache, marks, plain = self.cache, self.marks, self.mode == "words"
-        new = pieces.difference(cache)
+        new = {p for p in pieces if p not in cache}
         made, stems, heads = [], set(), set()
         for p in new:
             mark = p[-1:]

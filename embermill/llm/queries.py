@@ -28,12 +28,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(load(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_digest
+
+    return toxicity_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .personal import personal_digest
 
     return personal_digest(load(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import topk_digest
+
+    return topk_digest(load(spark, sf_dir, "embeddings"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_digest
 

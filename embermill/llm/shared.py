@@ -60,10 +60,8 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever they start."""
     sc = spark.sparkContext
     with _LOCK:
-        if getattr(sc, "_embermill_shipped", False):
-            return
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        if os.path.isdir(root):
+        if os.path.isdir(root) and not getattr(sc, "_embermill_shipped", False):
             into = os.path.join(tempfile.mkdtemp(prefix="embermill-zip-"), "embermill_workers.zip")
             with zipfile.ZipFile(into, "w") as z:
                 for folder, _, names in os.walk(root):
@@ -73,6 +71,10 @@ def ship(spark: SparkSession) -> None:
                             z.write(full, os.path.relpath(full, os.path.dirname(root)))
             sc.addPyFile(into)
         sc._embermill_shipped = True
+    # Whole texts make large rows: smaller Arrow batches bound what a worker holds.
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > 2000:
+        spark.conf.set(key, "2000")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
