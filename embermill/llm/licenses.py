@@ -156,7 +156,7 @@ PRIME = (
     "licen", "copyright", "spdx", "gpl", "warrant", "permission", "redistribut", "public domain",
     "creativecommons", "creative commons", "cc by", "cc-by", "cc0", "(c) ", "rights reserved",
     "proprietary", "unauthorized copying", "commons clause", "unicode terms", "bsd", "wtfpl", "mozilla.org",
-    "cecill", "free software", "openrail", "as is", "ncsa", "w3c",
+    "cecill", "free software", "openrail", "ncsa", "w3c",
 )
 
 

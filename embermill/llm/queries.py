@@ -46,6 +46,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_digest(load(spark, sf_dir, "embeddings"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_vectors
+
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_digest
 
