@@ -46,6 +46,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_digest(load(spark, sf_dir, "embeddings"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import passages_digest
+
+    return passages_digest(load(spark, sf_dir, "documents"))
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_vectors import near_vectors
 
