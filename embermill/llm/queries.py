@@ -70,6 +70,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_digest
+
+    return jaccard_digest(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
