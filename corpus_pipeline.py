@@ -1,11 +1,60 @@
-"""The corpus pipeline: documents through five operators to packed sequences."""
+"""The corpus pipeline: documents without toxic ones and near copies, cleaned of personal data, mixed and packed.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir) that calls one operator on all
+rows that its predecessor kept; all but the last give the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from embermill.llm import jaccard, mixing, packing, personal, shared, toxicity
+from embermill.llm.queries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, shared.load(spark, sf_dir, "labels")).select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
+    return jaccard.keep_first(docs, jaccard.Join(n=5, percent=80)).select(COLUMNS)
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(personal.redact(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(mixing.mix_documents(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("pii", redact_personal),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+# Trained scores, vocabularies and seeded draws have no SQL form: tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
