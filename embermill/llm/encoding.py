@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps; others are encoded once for each run of texts (speed only, never results).
-CACHE_PIECES = 250_000
+CACHE_PIECES = 450_000
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.mallopt(-8, 1)  # M_ARENA_MAX: one heap, so that trimming gives all of it back
@@ -29,7 +29,21 @@ except OSError:
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
+def lean() -> None:
+    """Let this worker allocate from the system, which takes freed memory back at once."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+def forget_encoders() -> None:
+    """Before other work: a worker that lives on gives up its tokenizers and their caches."""
+    lean()
+    _ENCODERS.clear()
+    _give_back()
+
+
 def encoder(tokenizer_json: str) -> "PieceEncoder":
+    lean()
     key = str(hash(tokenizer_json))
     if key not in _ENCODERS:
         _ENCODERS[key] = PieceEncoder(tokenizer_json)
@@ -82,7 +96,7 @@ class PieceEncoder:
                 at = end
         return out
 
-    def flat(self, texts: pa.Array, run_bytes: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def flat(self, texts: pa.Array, run_bytes: int = 6_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Runs of texts: (ids of all of them, end of each text's ids)."""
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         start = 0
@@ -225,7 +239,7 @@ class PieceEncoder:
 
 def _give_back() -> None:
     """Return freed memory to the system: a worker lives on between tasks."""
-    pa.default_memory_pool().release_unused()
+    lean()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
 

@@ -160,6 +160,9 @@ def pack_documents(
         wide = [np.frombuffer(ids[i], f"<u{width[i]}").astype("<u4") for i in order]
         pieces, _ = pack_lengths([len(w) for w in wide], capacity, slack)
         base = bucket << 32
+        from embermill.llm.encoding import _give_back
+
+        _give_back()
         return pa.table(
             {
                 "doc_id": pa.array([names[order[p[0]]] for p in pieces], pa.int64()),

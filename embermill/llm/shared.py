@@ -56,6 +56,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer held."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever they start."""
     sc = spark.sparkContext

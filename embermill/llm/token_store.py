@@ -170,12 +170,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     ship(spark)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from embermill.llm.encoding import _give_back
+
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 ids = unpack_segment(
                     row["payload"], row["frame_ends"], row["n_ids"], row["block_ids"], row["planes"]
                 )
-                raw, sizes = memoryview(ids.tobytes()), np.asarray(row["doc_tokens"], np.int64)
+                sizes = np.asarray(row["doc_tokens"], np.int64)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -183,9 +186,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                         "doc_id": pa.array(row["doc_ids"], pa.int64()),
                         "start_in_shard": pa.array(row["first_id"] + ends - sizes),
                         "n_tokens": pa.array(sizes),
-                        "ids": pa.array([raw[4 * (e - n) : 4 * e] for e, n in zip(ends, sizes)], pa.binary()),
+                        "ids": pa.Array.from_buffers(
+                            pa.binary(),
+                            len(sizes),
+                            [None, pa.py_buffer((4 * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(ids)],
+                        ),
                     }
                 )
+                del row, ids
+                _give_back()
 
     rows = spark.read.schema(STORE_SCHEMA).parquet(path)
     # One row per shard: at most one for each task that wrote the store.
