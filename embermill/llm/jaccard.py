@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_path, ship, written_at
+from .shared import drop_path, settle, ship, written_at
 from .shingles import bloom_bits, bloom_of
 
 
@@ -51,25 +51,25 @@ class Join:
     most_bits: int = 28
 
 
-def sets_of(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all texts' distinct shingles, set sizes), ascending within a text."""
+def sets_of(texts: pa.Array, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all texts' distinct shingles, set sizes), ascending within a text in the order of ``seed``."""
     from .shingles import mix, rolling, word_hashes
 
     h, counts = word_hashes(texts, True)
     ends = np.cumsum(counts)
-    many = np.where(counts >= n, counts - n + 1, 0)
-    text = np.repeat(np.arange(len(counts)), many)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + (ends - counts)[text]
-    grams = rolling(h, n)[start] if len(start) else np.empty(0, np.uint64)
-    short = np.flatnonzero((counts > 0) & (counts < n))
-    if len(short):
-        own = np.empty(len(short), np.uint64)
-        for i, t in enumerate(short):  # fewer than n words each
-            words = h[ends[t] - counts[t] : ends[t]]
-            own[i] = mix(rolling(words, len(words)) + np.uint64(len(words)), 9)[0]
-        grams, text = np.concatenate([grams, own]), np.concatenate([text, short])
-    order = np.lexsort((grams, text))
-    grams, text = grams[order], text[order]
+    sizes = np.where(counts >= n, counts - n + 1, (counts > 0).astype(np.int64))
+    to = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(counts)), sizes)
+    start = np.arange(len(text)) - (to - sizes)[text] + (ends - counts)[text]
+    runs = rolling(h, n)
+    grams = runs[np.minimum(start, max(0, len(runs) - 1))] if len(runs) else np.zeros(len(start), np.uint64)
+    for t in np.flatnonzero((counts > 0) & (counts < n)):  # fewer than n words each
+        words = h[ends[t] - counts[t] : ends[t]]
+        grams[to[t] - 1] = mix(rolling(words, len(words)) + np.uint64(len(words)), 9)[0]
+    if seed:
+        grams = mix(grams, seed)
+    for lo, hi in zip((to - sizes).tolist(), to.tolist()):
+        grams[lo:hi].sort()
     if len(grams):
         new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])])
         grams, text = grams[new], text[new]
@@ -93,14 +93,9 @@ def early(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return tested, np.minimum(size, reach)
 
 
-def _ranked(grams: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sets' hashes in the order of ``seed`` and each one's rank in its set."""
-    from .shingles import mix
-
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    m = mix(grams, seed)
-    order = np.lexsort((m, text))
-    return m[order], np.arange(len(m)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def ranks(sizes: np.ndarray) -> np.ndarray:
+    """Each shingle's place in its set."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _filtered(docs: DataFrame, seed: int, cfg: Join) -> DataFrame:
@@ -108,15 +103,16 @@ def _filtered(docs: DataFrame, seed: int, cfg: Join) -> DataFrame:
     spark = docs.sparkSession
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from embermill.llm.encoding import _give_back
-        from embermill.llm.jaccard import _ranked, early, sets_of
+        from embermill.llm.encoding import _give_back, forget_encoders
+        from embermill.llm.jaccard import early, ranks, sets_of
         from embermill.llm.shingles import runs_of
 
+        forget_encoders()
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("key").to_numpy()
             for lo, hi in runs_of(texts):
-                grams, sizes = sets_of(texts.slice(lo, hi - lo), cfg.n)
-                m, rank = _ranked(grams, sizes, seed)
+                m, sizes = sets_of(texts.slice(lo, hi - lo), cfg.n, seed)
+                rank = ranks(sizes)
                 _, shown = early(sizes, cfg.percent)
                 use = rank < np.repeat(shown, sizes)
                 yield pa.RecordBatch.from_pydict(
@@ -130,17 +126,20 @@ def _filtered(docs: DataFrame, seed: int, cfg: Join) -> DataFrame:
     bits = bloom_bits(shared.count(), cfg.most_bits)
     known = spark.sparkContext.broadcast(bloom_of(shared, bits))
     drop_path(spark, path)
+    del seen, shared
+    settle(spark)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from embermill.llm.encoding import _give_back
-        from embermill.llm.jaccard import _ranked, early, sets_of, spare
+        from embermill.llm.encoding import _give_back, forget_encoders
+        from embermill.llm.jaccard import early, ranks, sets_of, spare
         from embermill.llm.shingles import in_bloom, runs_of
 
+        forget_encoders()
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in runs_of(texts):
-                grams, sizes = sets_of(texts.slice(lo, hi - lo), cfg.n)
-                m, rank = _ranked(grams, sizes, seed)
+                m, sizes = sets_of(texts.slice(lo, hi - lo), cfg.n, seed)
+                rank = ranks(sizes)
                 tested, _ = early(sizes, cfg.percent)
                 use = rank < np.repeat(tested, sizes)
                 hit = in_bloom(known.value, bits, m[use])
@@ -189,7 +188,7 @@ def _links(x: pa.Table, y: pa.Table | None, percent: int) -> tuple[np.ndarray, n
 
 
 def jaccard_components(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row, and the row's key."""
+    """(doc_id, n_shingles, component_id) for every row, the row's key and its group's own label (null without shingles)."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(
@@ -197,10 +196,11 @@ def jaccard_components(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     ).withColumn("key", F.xxhash64("doc_id", "text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from embermill.llm.encoding import _give_back
+        from embermill.llm.encoding import _give_back, forget_encoders
         from embermill.llm.jaccard import sets_of
         from embermill.llm.shingles import mix, runs_of
 
+        forget_encoders()
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in runs_of(texts):
@@ -231,12 +231,14 @@ def jaccard_components(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     left = left.join(classes.select("key"), "key").dropDuplicates(["key"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from embermill.llm.encoding import _give_back
         from embermill.llm.jaccard import sets_of
         from embermill.llm.shingles import runs_of
 
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in runs_of(texts):
+                _give_back()
                 grams, sizes = sets_of(texts.slice(lo, hi - lo), cfg.n)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict(
@@ -264,6 +266,8 @@ def jaccard_components(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
         components(stars).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "groups"
     )
     drop_path(spark, bucket_path)
+    del tokens, count, common, ordered, buckets, hub, stars
+    settle(spark)
     clustered, clustered_path = written_at(sets.join(groups, "key"), "clustered")
     drop_path(spark, sets_path)
     drop_path(spark, group_path)
@@ -275,13 +279,14 @@ def jaccard_components(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     named, _ = written_at(named, "named")
     drop_path(spark, clustered_path)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("f1", "f2", "component_id")
+    named = named.join(least, "component").select("f1", "f2", "component", "component_id")
     out = marks.join(named, ["f1", "f2"], "left")
     return out.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "key",
+        F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"),
     )
 
 
@@ -333,6 +338,9 @@ def _verified(clustered: DataFrame, cfg: Join) -> DataFrame:
         from embermill.llm.components import forest
         from embermill.llm.jaccard import _links
 
+        from embermill.llm.encoding import _give_back
+
+        _give_back()
         side = t.column("side").to_numpy()
         x = t.filter(pa.array(side == 0))
         y = t.filter(pa.array(side == 1)) if (side == 1).any() else None
@@ -348,14 +356,15 @@ def _verified(clustered: DataFrame, cfg: Join) -> DataFrame:
 
 
 def jaccard_digest(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
-    return jaccard_components(docs, cfg).drop("key")
+    return jaccard_components(docs, cfg).drop("key", "component")
 
 
 def keep_first(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id (and the least row of it)."""
-    named = jaccard_components(docs, cfg).where("component_id IS NULL OR doc_id = component_id").select(
-        "key"
-    ).distinct()
+    rows = jaccard_components(docs, cfg)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min_by("key", order).alias("key"))
+    named = first.select("key").unionByName(rows.where("component IS NULL").select("key")).distinct()
     own = docs.withColumn("jaccard_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     kept = own.join(named, own["jaccard_key"] == named["key"], "left_semi")
     return kept.dropDuplicates(["jaccard_key"]).drop("jaccard_key")

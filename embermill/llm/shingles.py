@@ -51,7 +51,7 @@ def rolling(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     return mix(out, which)
 
 
-def runs_of(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def runs_of(texts: pa.Array, size: int = 2_500_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes."""
     total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
