@@ -1,0 +1,3 @@
+"""Log and event triage, and training-data operators, on Spark DataFrames."""
+
+__version__ = "0.1.0"

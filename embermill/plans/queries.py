@@ -618,9 +618,11 @@ def quantiles_exact(spark, sf_dir):
 @query("SELECT event_type, true AS p50, true AS p95, true AS p99 FROM events GROUP BY event_type")
 def quantiles_approx(spark, sf_dir):
     rows = events(spark, sf_dir)
-    e = stats.quantiles_exact(rows, "value", ["event_type"])
-    a = stats.quantiles_approx(rows, "value", ["event_type"]).select("event_type", *[F.col(c).alias("a" + c) for c in ("p50", "p95", "p99")])
-    return e.join(a, "event_type").select("event_type", *[(F.abs(F.col("a" + c) - F.col(c)) <= 15.0).alias(c) for c in ("p50", "p95", "p99")])
+    at = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    span = [F.percentile("value", F.lit(min(1.0, max(0.0, q + d)))).alias(f"{n}_{i}") for n, q in at.items() for i, d in ((0, -0.01), (1, 0.01))]
+    bounds = rows.groupBy("event_type").agg(*span)
+    approx = stats.quantiles_approx(rows, "value", ["event_type"])
+    return bounds.join(approx, "event_type").select("event_type", *[F.col(n).between(F.col(f"{n}_0"), F.col(f"{n}_1")).alias(n) for n in at])
 
 
 @query("SELECT epoch_us(ts) // 1000000 // 86400 * 86400 AS start_s, count(value) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
