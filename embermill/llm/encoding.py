@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps; others are encoded once for each run of texts (speed only, never results).
-CACHE_PIECES = 450_000
+CACHE_PIECES = 1_000_000
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.mallopt(-8, 1)  # M_ARENA_MAX: one heap, so that trimming gives all of it back
@@ -96,7 +96,7 @@ class PieceEncoder:
                 at = end
         return out
 
-    def flat(self, texts: pa.Array, run_bytes: int = 6_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def flat(self, texts: pa.Array, run_bytes: int = 12_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Runs of texts: (ids of all of them, end of each text's ids)."""
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         start = 0
@@ -126,8 +126,8 @@ class PieceEncoder:
         odd: list[int] = []
         if self.mode == "leading":
             firsts = [names[i] for i in at[starts].tolist()]
-            bad = np.fromiter((e is None for e in each), bool, len(each))
-            if bad.any():
+            if None in each:
+                bad = np.fromiter((e is None for e in each), bool, len(each))
                 hit = bad[at]
                 hit[starts] = [n > 1 and f[-1:].isspace() for f, n in zip(firsts, (ends - starts).tolist())]
                 odd = np.flatnonzero(np.logical_or.reduceat(hit, starts)).tolist()
@@ -167,14 +167,14 @@ class PieceEncoder:
             mark = p[-1:]
             if p.isalpha():
                 stems.add(p)
-            elif mark in marks and p[:-1].isalpha():
+            elif mark in marks and _letters(p[:-1]):
                 made.append((p, p[:-1], marks[mark], None))
                 stems.add(p[:-1])
             elif "\n" in p:
                 left, _, right = p.partition("\n")
                 mark = left[-1:] if left[-1:] in marks else ""
                 stem = left[: len(left) - len(mark)]
-                if stem.isalpha() and right.isalpha():
+                if _letters(stem) and _letters(right):
                     made.append((p, stem, marks[mark] + self.line, right))
                     stems.add(stem)
                     heads.add(right)
@@ -182,14 +182,15 @@ class PieceEncoder:
                     stems.add(p)
             else:
                 stems.add(p)
-        stems.difference_update(cache)
+        stems = {p for p in stems if p not in cache}
         if "" in stems:
             stems.discard("")
             cache[""] = b"" if plain else None  # next to another space: not a boundary
         order = list(stems)
         if not plain:
-            cache.update((p, None) for p in order if p[0].isspace() or p[-1].isspace())
-            order = [p for p in order if p not in cache]
+            spaced = {p for p in order if not p.isalpha() and (p[0].isspace() or p[-1].isspace())}
+            cache.update(dict.fromkeys(spaced))
+            order = [p for p in order if p not in spaced]
         head_ids = dict(zip(heads, self._whole(list(heads))))
         for i in range(0, len(order), 20_000):
             part = order[i : i + 20_000]
@@ -237,6 +238,11 @@ class PieceEncoder:
         return out
 
 
+def _letters(word: str) -> bool:
+    """Letters alone, and still so in lower case (a letter's lower case may hold a mark)."""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha())
+
+
 def _give_back() -> None:
     """Return freed memory to the system: a worker lives on between tasks."""
     lean()

@@ -81,8 +81,8 @@ def ship(spark: SparkSession) -> None:
         sc._embermill_shipped = True
     # Whole texts make large rows: smaller Arrow batches bound what a worker holds.
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > 2000:
-        spark.conf.set(key, "2000")
+    if int(spark.conf.get(key, "10000")) > 4000:
+        spark.conf.set(key, "4000")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_path, ship, written_at
+from .shared import drop_path, settle, ship, written_at
 from .shingles import bloom_bits, bloom_of
 
 
@@ -78,10 +78,11 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
     keyed = _keyed(docs).where("doc_id IS NOT NULL")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from embermill.llm.encoding import _give_back
+        from embermill.llm.encoding import _give_back, forget_encoders
         from embermill.llm.shingles import rolling, runs_of, word_hashes
         from embermill.llm.substrings import minimizers
 
+        forget_encoders()
         for batch in batches:
             texts, names = batch.column("text"), batch.column("doc_id").to_numpy()
             for lo, hi in runs_of(texts):
@@ -101,12 +102,15 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
     bits = bloom_bits(shared.count(), cfg.most_bits)
     known = spark.sparkContext.broadcast(bloom_of(shared, bits))
     drop_path(spark, seed_path)
+    del found, shared
+    settle(spark)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from embermill.llm.encoding import _give_back
+        from embermill.llm.encoding import _give_back, forget_encoders
         from embermill.llm.shingles import in_bloom, rolling, runs_of, word_hashes
         from embermill.llm.substrings import minimizers
 
+        forget_encoders()
         for batch in batches:
             texts, names = batch.column("text"), batch.column("doc_id").to_numpy()
             variants = batch.column("variant").to_numpy().astype(np.int64)
@@ -130,7 +134,8 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
 
     places, path = written_at(keyed.mapInArrow(edges, "h long, g int, doc_id long, at long"), "edges")
     first = places.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.where("first <> last").select("h", "g", "first")
+    first, first_path = written_at(first.where("first <> last").select("h", "g", "first"), "repeated")
+    settle(spark)
     later = places.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "at")
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +164,9 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
                 doc, at = np.concatenate([kept[0], doc]), np.concatenate([kept[1], at])
             if not len(doc):
                 continue
+            # rows that repeat a document give its places twice
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
+            doc, at = doc[new], at[new]
             # the last document may go on in the next batch
             cut = int(np.searchsorted(doc, doc[-1]))
             kept = doc[cut:], at[cut:]
@@ -167,8 +175,15 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
         if kept is not None and len(kept[0]):
             yield out(*kept)
 
-    ordered = later.distinct().repartition("doc_id").sortWithinPartitions("doc_id", "at")
-    return ordered.mapInArrow(paths, "doc_id long, variant int, starts array<int>, lengths array<int>")
+    ordered = later.repartition("doc_id").sortWithinPartitions("doc_id", "at")
+    runs, _ = written_at(
+        ordered.mapInArrow(paths, "doc_id long, variant int, starts array<int>, lengths array<int>"), "paths"
+    )
+    drop_path(spark, path)
+    drop_path(spark, first_path)
+    del places, first, later, ordered
+    settle(spark)
+    return runs
 
 
 def remove_repeats(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:

@@ -27,31 +27,32 @@ from .shared import ship
 HITS = "query_id long, vec_id long, score long"
 
 
+def sorted_lists(x: np.ndarray) -> np.ndarray:
+    """(2, dimensions, rows): each dimension's rows from its largest component down, and from its smallest up."""
+    up = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+    return np.stack([np.ascontiguousarray(up[:, ::-1]), up])
+
+
 def threshold_topk(
     x: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np.ndarray, own: int, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(vec_ids, scores) of the k best rows of ``x``, best first; ``lists[j]`` orders rows by component j, ascending."""
+    """(vec_ids, scores) of the k best rows of ``x``, best first. ``lists``: of sorted_lists(x)."""
     n = len(x)
     used = np.flatnonzero(query)
-    weights = query[used]
-    from_top = weights > 0
-    rows = np.where(from_top[:, None], lists[used][:, ::-1], lists[used]) if n <= 4096 else None
-    seen = np.zeros(n, bool)
-    best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-    depth, step = 0, max(8, k)
     if not len(used):
         best_ids = np.sort(ids[ids != own])[:k]
         return best_ids, np.zeros(len(best_ids), np.int64)
+    weights = query[used]
+    end_of = (weights < 0).astype(int)
+    seen = np.zeros(n, bool)
+    best_ids, best = np.empty(0, np.int64), np.empty(0, x.dtype)
+    depth, step = 0, max(8, k, n // 128)
     while depth < n:
         end = min(n, depth + step)
-        if rows is not None:
-            part = rows[:, depth:end]
-        else:
-            part = np.empty((len(used), end - depth), lists.dtype)
-            part[from_top] = lists[used[from_top], n - end : n - depth][:, ::-1]
-            part[~from_top] = lists[used[~from_top], depth:end]
-        fresh = np.unique(part)
-        fresh = fresh[~seen[fresh]]
+        part = lists[end_of, used, depth:end]
+        fresh = np.zeros(n, bool)
+        fresh[part.ravel()] = True
+        fresh = np.flatnonzero(fresh & ~seen)
         seen[fresh] = True
         if len(fresh):
             ids_, scores = ids[fresh], x[fresh] @ query
@@ -64,12 +65,12 @@ def threshold_topk(
                 best_ids, best = best_ids[top], best[top]
                 order = np.lexsort((best_ids, -best))[:k]
                 best_ids, best = best_ids[order], best[order]
-        bound = int(x[part[:, -1], used] @ weights)
+        bound = x[part[:, -1], used] @ weights
         if len(best) == k and bound < best.min():
             break
         depth, step = end, step * 2
     order = np.lexsort((best_ids, -best))[:k]
-    return best_ids[order], best[order]
+    return best_ids[order], best[order].astype(np.int64)
 
 
 def top_k(
@@ -94,7 +95,7 @@ def top_k(
     )
 
     def search(_, own: pa.Table, asked: pa.Table) -> pa.Table:
-        from embermill.llm.topk import threshold_topk
+        from embermill.llm.topk import sorted_lists, threshold_topk
 
         out: list[tuple] = []
         ids = own.column("vec_id").to_numpy()
@@ -105,10 +106,13 @@ def top_k(
             if not len(here) or not d:
                 continue
             x = own.column("v").combine_chunks().take(pa.array(here)).flatten().to_numpy().reshape(-1, d)
-            lists = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+            largest = max(abs(int(x.min())), abs(int(x.max())))
+            if d * largest * max(max(map(abs, v)) for _, v in asks if len(v) == d) < 1 << 53:
+                x = x.astype(np.float64)  # whole numbers below 2**53: sums stay exact
+            lists = sorted_lists(x)
             for name, v in asks:
                 if len(v) == d:
-                    found, scores = threshold_topk(x, ids[here], lists, np.array(v, np.int64), name, k)
+                    found, scores = threshold_topk(x, ids[here], lists, np.array(v, x.dtype), name, k)
                     out += zip([name] * len(found), found.tolist(), scores.tolist())
         columns = list(zip(*out)) or [[], [], []]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})

@@ -245,9 +245,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, float, float] | None
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from embermill.llm.encoding import _give_back
+        from embermill.llm.encoding import _give_back, forget_encoders
         from embermill.llm.toxicity import word_scores, words_of, worst_window
 
+        forget_encoders()
         table, bias, slope, intercept = shared.value
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
@@ -255,7 +256,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, float, float] | None
             start = 0
             while start < batch.num_rows:
                 done = int(sizes[start - 1]) if start else 0
-                end = max(start + 1, int(np.searchsorted(sizes, done + 4_000_000)))
+                end = max(start + 1, int(np.searchsorted(sizes, done + 2_500_000)))
                 words, at, counts = words_of(texts.slice(start, end - start))
                 z = worst_window(word_scores(words, table, cfg), at, counts, bias, cfg)
                 p = 1 / (1 + np.exp(-np.clip(slope * z + intercept, -30, 30)))
