@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
         return follow(spark, paths[0], test, args)
     lines = read_lines(spark, paths).withColumn("line", F.monotonically_increasing_id())
     numbered = with_seq(lines, "source_name", "line").withColumn("source_id", F.xxhash64("source_name"))
-    triage = Triage(numbered, Intervals()).persist()
+    triage = Triage(numbered, Intervals())
     color = not args.no_color and not args.json and out.isatty()
     shown = triage.events(test, args.level, seconds).orderBy("seq").limit(args.ring_size)
     if args.mode != "incident":

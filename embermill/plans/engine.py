@@ -1,4 +1,4 @@
-"""The triage engine: lines are parsed once, written once, and every report branches off that table."""
+"""The triage engine: lines are parsed once and kept, and every report branches off that table."""
 
 from __future__ import annotations
 
@@ -35,12 +35,20 @@ class Triage:
         self.every = intervals
         if parsed is None:
             kept = lines.where(~is_continuation(F.col("raw")))
-            parsed = parse_events(lock_formats(kept)).drop("format")
-        self.parsed = groups.with_template(parsed)
+            parsed = parse_events(lock_formats(kept)).drop("format", "raw")
+        # Kept in memory and on disk, and made again from lines if an executor is lost.
+        self.parsed = groups.with_template(parsed).persist()
+        self._kept: dict[str, DataFrame] = {"parsed": self.parsed}
 
-    def persist(self) -> Triage:
-        self.parsed = self.parsed.persist()
-        return self
+    def release(self) -> None:
+        """Give up what is kept."""
+        for df in self._kept.values():
+            df.unpersist()
+
+    def _keep(self, name: str, make) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = make().persist()
+        return self._kept[name]
 
     def events(self, predicate: filters.Predicate = filters.Predicate(), min_severity: str | None = None, last_s: int | None = None) -> DataFrame:
         since = None
@@ -49,15 +57,18 @@ class Triage:
         return filters.display(self.parsed, predicate, min_severity, since)
 
     def groups(self) -> DataFrame:
-        return groups.scored_groups(self.parsed, self.every.window, self.every.decay)
+        return self._keep("groups", lambda: groups.scored_groups(self.parsed, self.every.window, self.every.decay))
 
     def top_groups(self, k: int = 20) -> DataFrame:
         return groups.top_groups(self.groups(), k)
 
     def rates(self) -> DataFrame:
-        return anomaly.rate_series(self.parsed, self.every.tick)
+        return self._keep("rates", lambda: anomaly.rate_series(self.parsed, self.every.tick))
 
     def firings(self) -> DataFrame:
+        return self._keep("firings", self._firings)
+
+    def _firings(self) -> DataFrame:
         t = self.every.tick
         series = self.rates()
         rate = anomaly.rate_anomalies(series, anomaly.Rate(tick_s=t, fast_s=10.0 * t, slow_s=300.0 * t))
@@ -65,7 +76,7 @@ class Triage:
         return rate.unionByName(shift)
 
     def alerts(self) -> DataFrame:
-        return anomaly.alerts(self.firings(), idle_s=self.every.alert_idle)
+        return self._keep("alerts", lambda: anomaly.alerts(self.firings(), idle_s=self.every.alert_idle))
 
     def signals(self) -> DataFrame:
         return correlate.alert_signals(self.firings())

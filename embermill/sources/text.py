@@ -48,7 +48,9 @@ def merge_sources(*sources: DataFrame, order: tuple[str, ...] = ("ts", "source_i
 
 
 def with_seq(rows: DataFrame, *order: str) -> DataFrame:
-    part = rows.sort(*order).withColumn("_p", F.spark_partition_id())
+    # A fixed number of ranges: both uses below must see the same partitions.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     part = part.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
     counts = part.groupBy("_p").agg(F.count("*").alias("n"))
     # One row for each partition.
