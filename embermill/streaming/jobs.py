@@ -1,7 +1,9 @@
 """The triage operators on streams: the same expressions, with watermarks and keyed state.
 
 Late rows beyond the watermark are left out of windowed results; state lives as
-long as the watermark, in place of fixed table sizes.
+long as the watermark or, in keyed folds, until a key was idle for ``idle_ms``, in
+place of fixed table sizes. A run over what is there now (``availableNow``) wants
+``idle_ms=None``: waiting for time to pass never ends.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def trace_sessions(events: DataFrame, gap: str = "30 seconds", delay: str = "60
     )
 
 
-def drain(events: DataFrame, threshold: float = 0.5, idle_ms: int = 3_600_000) -> DataFrame:
+def drain(events: DataFrame, threshold: float = 0.5, idle_ms: int | None = 3_600_000) -> DataFrame:
     """(seq, template) as emitted, by clusters kept in state for each token count."""
     rows = events.select(F.col("seq").cast("bigint").alias("seq"), mask(tokenize(F.col("message"))).alias("tokens"))
     rows = rows.withColumn("n", F.least(F.size("tokens"), F.lit(MAX_TOKENS)))
@@ -81,15 +83,16 @@ def drain(events: DataFrame, threshold: float = 0.5, idle_ms: int = 3_600_000) -
                 clusters[best] = [x if x == y else WILDCARD for x, y in zip(clusters[best], tokens)]
             out.append((seq, " ".join(clusters[best])))
         state.update((json.dumps(clusters),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["seq", "template"])
 
     return rows.groupBy("n").applyInPandasWithState(
-        step, "seq bigint, template string", "clusters string", "append", "ProcessingTimeTimeout"
+        step, "seq bigint, template string", "clusters string", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout"
     )
 
 
-def detect(ticks: DataFrame, z: float = 3.0, warmup: int = 30, idle_ms: int = 86_400_000) -> DataFrame:
+def detect(ticks: DataFrame, z: float = 3.0, warmup: int = 30, idle_ms: int | None = 86_400_000) -> DataFrame:
     """Spikes and drops over (series, tick, sample) as ticks come in: count, mean and squared deviations are the state."""
 
     def step(key: tuple, batches: Iterator, state) -> Iterator:
@@ -113,9 +116,10 @@ def detect(ticks: DataFrame, z: float = 3.0, warmup: int = 30, idle_ms: int = 86
             if score is not None and n >= warmup and abs(score) >= z:
                 out.append((key[0], tick, "rate_spike" if score > 0 else "rate_drop", float(score)))
         state.update((n, mean, m2))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["series", "tick", "kind", "deviation"])
 
     return ticks.groupBy("series").applyInPandasWithState(
-        step, "series string, tick bigint, kind string, deviation double", "n long, mean double, m2 double", "append", "ProcessingTimeTimeout"
+        step, "series string, tick bigint, kind string, deviation double", "n long, mean double, m2 double", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout"
     )

@@ -35,8 +35,8 @@ def test_stateful_folds(spark, tmp_path):
     folder.mkdir()
     (folder / "a.log").write_text("\n".join(lines(10)))
     parsed = jobs.parsed_stream(stream_lines(spark, str(folder)), "logfmt").withColumn("seq", F.col("ts_nanos"))
-    run(jobs.drain(parsed), tmp_path, "d", "append")
+    run(jobs.drain(parsed, idle_ms=None), tmp_path, "d", "append")
     assert {r[0] for r in spark.sql("SELECT template FROM d").collect()} == {"job <*> done"}
     ticks = parsed.select(F.lit("all").alias("series"), F.col("seq").alias("tick"), F.when(F.col("message") == "job 9 done", 500.0).otherwise(F.length("message") + F.col("ts_nanos") / 1e9 % 2).alias("sample"))
-    run(jobs.detect(ticks, warmup=5), tmp_path, "z", "append")
+    run(jobs.detect(ticks, warmup=5, idle_ms=None), tmp_path, "z", "append")
     assert [r[0] for r in spark.sql("SELECT kind FROM z").collect()] == ["rate_spike"]
