@@ -25,6 +25,7 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +41,9 @@ from .shingles import bloom_bits, bloom_of
 @dataclass(frozen=True)
 class Passages:
     window: int = 13
-    seed_words: int = 5
+    seed_words: int = 7
     most_bits: int = 28
+    turns: int = 3
 
 
 def minimizers(h: np.ndarray, counts: np.ndarray, cfg: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,10 +135,19 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
             _give_back()
 
     places, path = written_at(keyed.mapInArrow(edges, "h long, g int, doc_id long, at long"), "edges")
-    first = places.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first, first_path = written_at(first.where("first <> last").select("h", "g", "first"), "repeated")
-    settle(spark)
-    later = places.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "at")
+    # Edges are settled in turns, by ranges of their hash: only one turn's shuffles stand on disk.
+    turns = []
+    for turn in range(cfg.turns):
+        own = places.where(F.pmod("h", F.lit(cfg.turns)) == turn)
+        first = own.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        first, first_path = written_at(first.where("first <> last").select("h", "g", "first"), "repeated")
+        settle(spark)
+        later = own.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "at")
+        turns.append(written_at(later, "later"))
+        drop_path(spark, first_path)
+        settle(spark)
+    drop_path(spark, path)
+    later = functools.reduce(DataFrame.unionByName, [t for t, _ in turns])
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by document and place: consecutive places compact into (start, length)."""
@@ -179,9 +190,8 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
     runs, _ = written_at(
         ordered.mapInArrow(paths, "doc_id long, variant int, starts array<int>, lengths array<int>"), "paths"
     )
-    drop_path(spark, path)
-    drop_path(spark, first_path)
-    del places, first, later, ordered
+    for _, later_path in turns:
+        drop_path(spark, later_path)
     settle(spark)
     return runs
 
