@@ -283,6 +283,7 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame, cfg: Toxic = Toxic()) ->
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cfg: Toxic = Toxic()) -> DataFrame:
     """``docs`` without those that score as toxic; columns are kept."""
-    out = scored(docs.drop("score"), train(docs, labels, cfg), cfg)
-    kept = out.where(F.col("score") < cfg.threshold).drop("score")
-    return kept if "score" not in docs.columns else kept
+    names = docs.columns
+    own = docs.withColumnRenamed("score", "own_score")
+    kept = scored(own, train(docs, labels, cfg), cfg).where(F.col("score") < cfg.threshold).drop("score")
+    return kept.withColumnRenamed("own_score", "score").select(names)

@@ -92,8 +92,8 @@ def test_toxicity_held_out(spark):
     assert len(got) == 900 and 200 < len(held) < 400
     right = sum(got[i]["predicted"] == truth[i] for i in held) / len(held)
     assert right > 0.93 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
-    kept = toxicity.keep_clean(docs, labels, cfg)
-    assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in got.values())
+    kept = toxicity.keep_clean(docs.withColumn("score", F.lit("own")), labels, cfg)
+    assert kept.columns == [*docs.columns, "score"] and kept.where("score = 'own'").count() == kept.count() and kept.count() == sum(1 - r["predicted"] for r in got.values())
 
 
 def test_toxicity_edges(spark, clashing, empty):
@@ -197,7 +197,7 @@ def test_license_rules_and_suppression(spark):
     assert "apache" not in {h["label"] for h in got[0]}  # lies within the versioned title
     assert len(licenses.rules()) >= 200
     for rule in licenses.rules():
-        assert rule.keyword == rule.keyword.lower() and any(p in "licen copyright" or True for p in licenses.PRIME)
+        assert rule.keyword == rule.keyword.lower()
 
 
 def test_corpus_fixture_is_odd_enough():

@@ -7,15 +7,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from embermill.llm import packing, token_store
 from embermill.llm.encoding import PieceEncoder
 from embermill.llm.queries import vocabulary
 from embermill.llm.shared import new_path
 
-from .conftest import rows_of
-
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 ENCODERS = {name: PieceEncoder(vocabulary(name)) for name in (WORD, BYTE)}
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n a", "a\n", "a\n b", "x.\nNew", "<|endoftext|> x <|endoftext|>", "don't 's 'S  12 3,4", "İ Σας ΟΔΟΣ",
@@ -124,4 +121,3 @@ def test_packing_of_any_lengths(lengths):
             assert start == at and k > 0
             at += k
         assert at == n
-    assert rows_of  # shared helper stays importable
