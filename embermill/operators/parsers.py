@@ -21,6 +21,11 @@ def _event(severity: Column, message: Column, trace: Column, service: Column, fi
     )
 
 
+def _with(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def _null() -> Column:
     return F.lit(None)
 
@@ -63,10 +68,11 @@ def parse_json(line: Column) -> Column:
 
     A line that is not a JSON object keeps its raw text as the message.
     """
-    entries = F.coalesce(
-        json_entries(line), F.array().cast("array<struct<key:string,kind:string,text:string,nested:boolean>>")
-    )
+    none = F.array().cast("array<struct<key:string,kind:string,text:string,nested:boolean>>")
+    return _with(F.coalesce(json_entries(line), none), lambda entries: _json_event(line, entries))
 
+
+def _json_event(line: Column, entries: Column) -> Column:
     def last(column: str) -> Column:
         own = F.filter(entries, lambda e: e["key"].isin(*ALIASES[column]))
         return F.get(own, F.size(own) - 1)
@@ -94,7 +100,8 @@ def parse_json(line: Column) -> Column:
 
 # ------------------------------------------------------------------ key=value
 
-_PAIR = r'([^ =\t]+)=("(?:[^"\\]|\\.)*+"?|[^ \t]+)'
+# A key is tried where a run begins or a pair ended, so long runs stay linear.
+_PAIR = r'(?:\G|(?<![^ =\t]))([^ =\t]++)=("[^"\\]*+(?:\\.[^"\\]*+)*+"?|[^ \t]+)'
 
 
 def kv_pairs(line: Column) -> Column:
@@ -112,7 +119,10 @@ def kv_pairs(line: Column) -> Column:
 
 
 def parse_kv(line: Column) -> Column:
-    pairs = kv_pairs(line)
+    return _with(kv_pairs(line), lambda pairs: _kv_event(line, pairs))
+
+
+def _kv_event(line: Column, pairs: Column) -> Column:
     aliases = {k: [a for a in v if a != "x-trace-id"] for k, v in ALIASES.items()}
     known = [a for v in aliases.values() for a in v]
 

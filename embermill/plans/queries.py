@@ -531,7 +531,8 @@ _SERIES = ", ser AS (SELECT s // 3600 * 3600 AS tick, CAST(count(*) AS DOUBLE) A
 
 
 def _series(spark, sf_dir):
-    return anomaly.rate_series(parsed(spark, sf_dir), HOUR)
+    # Some hundred ticks, read by several detectors: kept, as the engine keeps them.
+    return anomaly.rate_series(parsed(spark, sf_dir), HOUR).persist()
 
 
 @query(EV + _SERIES + " SELECT tick, sample FROM ser")
@@ -703,7 +704,7 @@ _ALERTS = """, fi AS (SELECT * FROM rf UNION ALL SELECT * FROM cf), isl AS (SELE
 
 def _firings(spark, sf_dir):
     series = _series(spark, sf_dir)
-    return anomaly.rate_anomalies(series, _R).unionByName(anomaly.cusum_anomalies(series, _U))
+    return anomaly.rate_anomalies(series, _R).unionByName(anomaly.cusum_anomalies(series, _U)).persist()
 
 
 def _alerts(spark, sf_dir):
@@ -800,7 +801,7 @@ def event_json(spark, sf_dir):
 @query(_RATE + _CU + _ALERTS.rstrip() + _GROUPS.replace(", g AS", ", g AS", 1) + _TRACES + """SELECT (SELECT count(*) FROM ev) AS events_total, (SELECT least(20, count(*)) FROM g) AS n_groups,
  (SELECT least(128, count(*)) FROM al) AS n_alerts, (SELECT least(8, count(DISTINCT effect_id)) FROM co) AS n_hypotheses, (SELECT least(20, count(*)) FROM t WHERE max_sev >= 4) AS n_failed""")
 def triage_summary(spark, sf_dir):
-    rows = parsed(spark, sf_dir)
+    rows = parsed(spark, sf_dir).persist()
     out = render.triage_summary(rows, _scored(spark, sf_dir), _alerts(spark, sf_dir), correlate.hypotheses(_causes(spark, sf_dir)), traces.traces(rows))
     n = lambda c: F.size(c).cast("bigint")
     return out.select(
