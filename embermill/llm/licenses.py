@@ -1,8 +1,9 @@
 """Licence detection by ordered signature rules.
 
-A rule is a regex with a keyword, a label, a priority and a confidence.  A text
-is looked at only if it holds one of a few prime words, a rule only if the text
-holds its keyword.  Detections are ordered by priority; one whose interval lies
+A rule is a regex with the words that any match holds, a label, a priority and a
+confidence.  A rule is searched for only in texts that hold all its words, and a
+text is looked at only if it holds one of a few words that, between them, every
+rule needs; neither gate can lose a match.  Detections are ordered by priority; one whose interval lies
 within that of a detection of higher priority (or of a longer one of the same)
 is suppressed.  The base phrases are places of whole words and always stay.
 
@@ -41,6 +42,8 @@ class Rule(NamedTuple):
     regex: str
     priority: int
     confidence: float
+    #: What any match holds as it stands, the keyword among it.
+    needs: tuple[str, ...]
 
 
 # name: (label stem, title regexes, versions, short names)
@@ -109,41 +112,41 @@ _PLAIN = {
     "llama": ["llama community license", "llama 2 community license", "llama 3 community license"],
 }
 
-# label: (keyword, sentence that grants or disclaims under that licence)
+# label: (keyword, one word that the sentence must hold; sentence that grants or disclaims under that licence)
 _SENTENCES = {
     "mit": [
-        ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-        ("substantial portions", r"shall be included in all copies or substantial portions"),
-        ("without restriction", r"deal in the software without restriction"),
+        ("permission", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+        ("substantial", r"shall be included in all copies or substantial portions"),
+        ("restriction", r"deal in the software without restriction"),
     ],
-    "isc": [("permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee")],
+    "isc": [("distribute", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee")],
     "bsd": [
-        ("redistribution and use", r"redistribution and use in source and binary forms, with or without modification"),
-        ("redistributions of source", r"redistributions of source code must retain the above copyright notice"),
-        ("redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice"),
+        ("redistribution", r"redistribution and use in source and binary forms, with or without modification"),
+        ("redistributions", r"redistributions of source code must retain the above copyright notice"),
+        ("redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
     ],
-    "bsd-3-clause": [("endorse or promote", r"may be used to endorse or promote products derived from this software")],
-    "bsd-4-clause": [("advertising materials", r"all advertising materials mentioning features or use of this software")],
+    "bsd-3-clause": [("endorse", r"may be used to endorse or promote products derived from this software")],
+    "bsd-4-clause": [("advertising", r"all advertising materials mentioning features or use of this software")],
     "gpl": [
-        ("free software foundation", r"under the terms of the gnu general public license as published by the free software foundation"),
-        ("you can redistribute it", r"is free software[:;] you can redistribute it and/or modify"),
-        ("received a copy of the gnu", r"you should have received a copy of the gnu general public license"),
+        ("foundation", r"under the terms of the gnu general public license as published by the free software foundation"),
+        ("redistribute", r"is free software[:;] you can redistribute it and/or modify"),
+        ("received", r"you should have received a copy of the gnu general public license"),
     ],
-    "lgpl": [("gnu lesser", r"under the terms of the gnu lesser general public license")],
+    "lgpl": [("lesser", r"under the terms of the gnu lesser general public license")],
     "agpl": [("affero", r"under the terms of the gnu affero general public license")],
     "apache-2.0": [
         ("www.apache.org", r"https?://www\.apache\.org/licenses/license-2\.0"),
-        ("compliance with the license", r"you may not use this file except in compliance with the license"),
-        ("limitations under the license", r"see the license for the specific language governing permissions and limitations under the license"),
+        ("compliance", r"you may not use this file except in compliance with the license"),
+        ("limitations", r"see the license for the specific language governing permissions and limitations under the license"),
     ],
-    "mpl-2.0": [("mozilla.org/mpl", r"mozilla\.org/mpl/2\.0"), ("source code form is subject", r"this source code form is subject to the terms of the mozilla public license")],
-    "zlib": [("altered source versions", r"altered source versions must be plainly marked as such")],
-    "unlicense": [("unencumbered software", r"this is free and unencumbered software released into the public domain")],
+    "mpl-2.0": [("mozilla.org/mpl", r"mozilla\.org/mpl/2\.0"), ("mozilla", r"this source code form is subject to the terms of the mozilla public license")],
+    "zlib": [("altered", r"altered source versions must be plainly marked as such")],
+    "unlicense": [("unencumbered", r"this is free and unencumbered software released into the public domain")],
     "bsl-1.0": [("boost.org/license", r"boost\.org/license_1_0\.txt")],
     "warranty-disclaimer": [
-        ("as is", r"(?:is|are) provided [\"'`]*as is[\"'`]*,? without warranty"),
-        ("without any warranty", r"without any warranty[,;] without even the implied warranty"),
-        ("in no event shall", r"in no event shall the (?:authors|copyright)[^.]{0,60} be liable"),
+        ("provided", r"(?:is|are) provided [\"'`]*as is[\"'`]*,? without warranty"),
+        ("warranty", r"without any warranty[,;] without even the implied warranty"),
+        ("liable", r"in no event shall the (?:authors|copyright)[^.]{0,60} be liable"),
         ("merchantability", r"warrant(?:y|ies) of merchantability"),
     ],
     "copyright-notice": [
@@ -151,21 +154,15 @@ _SENTENCES = {
         ("(c)", r"\(c\) (?:copyright )?(?:19|20)[0-9]{2}"),
     ],
 }
-#: Words one of which a text must hold to be looked at.
-PRIME = (
-    "licen", "copyright", "spdx", "gpl", "warrant", "permission", "redistribut", "public domain",
-    "creativecommons", "creative commons", "cc by", "cc-by", "cc0", "(c) ", "rights reserved",
-    "proprietary", "unauthorized copying", "commons clause", "unicode terms", "bsd", "wtfpl", "mozilla.org",
-    "cecill", "free software", "openrail", "ncsa", "w3c",
-)
 
 
 def _spaced(phrase: str) -> str:
     return r"[\s]{1,8}".join(re.escape(w) for w in phrase.split(" "))
 
 
-def _keyword(phrase: str) -> str:
-    return max(re.split(r"[ /]", phrase), key=len)
+def _words(phrase: str) -> tuple[str, ...]:
+    """The phrase's words, longest first."""
+    return tuple(sorted(phrase.split(" "), key=len, reverse=True))
 
 
 @functools.cache
@@ -173,52 +170,79 @@ def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
     out: list[Rule] = []
     edge, end = r"(?<![a-z0-9])", r"(?![a-z0-9])"
+
+    def add(label: str, needs: tuple[str, ...], regex: str, priority: int, confidence: float) -> None:
+        out.append(Rule(label, needs[0], regex, priority, confidence, needs))
+
     for stem, titles, versions, shorts in _VERSIONED.values():
         for v in versions:
             label, number = f"{stem}-{v}", re.escape(v.removesuffix(".0")) + (r"(?:\.0)?" if v.endswith(".0") or "." not in v else "")
             later = rf"{number}(?![0-9]|\.[0-9])"
             for t in titles:
-                out.append(Rule(label, _keyword(t), rf"{edge}{_spaced(t)}[\s,(]{{1,4}}(?:version|ver\.?|v\.?)?[\s]{{0,3}}{later}", 80, 0.95))
+                add(label, _words(t), rf"{edge}{_spaced(t)}[\s,(]{{1,4}}(?:version|ver\.?|v\.?)?[\s]{{0,3}}{later}", 80, 0.95)
             for s in shorts:
-                out.append(Rule(label, s, rf"{edge}{re.escape(s)}[ -]?(?:version |v\.? ?)?{later}", 60, 0.8))
-            out.append(Rule(label, "spdx", rf"spdx-license-identifier:[ \t]{{0,8}}{re.escape(stem)}-{number}(?:-only|-or-later|\+)?{end}", 100, 1.0))
+                add(label, (s,), rf"{edge}{re.escape(s)}[ -]?(?:version |v\.? ?)?{later}", 60, 0.8)
+            add(label, ("spdx-license-identifier:",), rf"spdx-license-identifier:[ \t]{{0,8}}{re.escape(stem)}-{number}(?:-only|-or-later|\+)?{end}", 100, 1.0)
         for t in titles:
-            out.append(Rule(stem, _keyword(t), rf"{edge}{_spaced(t)}{end}", 40, 0.7))
+            add(stem, _words(t), rf"{edge}{_spaced(t)}{end}", 40, 0.7)
     for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"):
         names = kind.replace("by", "attribution").replace("nc", "noncommercial").replace("nd", "noderivs").replace("sa", "sharealike")
         for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             label, number = f"cc-{kind}-{v}", re.escape(v)
-            out.append(Rule(label, "cc", rf"{edge}cc[ -]{kind}[ -]{number}(?![0-9])", 85, 0.95))
-            out.append(Rule(label, "creativecommons.org", rf"creativecommons\.org/licenses/{kind}/{number}", 95, 1.0))
-            out.append(Rule(label, "creative commons", rf"creative commons {names.replace('-', '[- ]')}[ ]{number}", 85, 0.95))
-        out.append(Rule(f"cc-{kind}", "cc", rf"{edge}cc[ -]{kind}(?![a-z-])", 45, 0.8))
+            add(label, ("cc",), rf"{edge}cc[ -]{kind}[ -]{number}(?![0-9])", 85, 0.95)
+            add(label, ("creativecommons.org",), rf"creativecommons\.org/licenses/{kind}/{number}", 95, 1.0)
+            add(label, ("attribution", "creative", "commons"), rf"creative commons {names.replace('-', '[- ]')}[ ]{number}", 85, 0.95)
+        add(f"cc-{kind}", ("cc",), rf"{edge}cc[ -]{kind}(?![a-z-])", 45, 0.8)
     for label, phrases in _PLAIN.items():
         for p in phrases:
-            out.append(Rule(label, _keyword(p), rf"{edge}{_spaced(p)}{end}", 50, 0.6 if label in ("public-domain", "proprietary") else 0.85))
+            add(label, _words(p), rf"{edge}{_spaced(p)}{end}", 50, 0.6 if label in ("public-domain", "proprietary") else 0.85)
         if re.fullmatch(r"[a-z0-9-]+", label):
-            out.append(Rule(label, "spdx", rf"spdx-license-identifier:[ \t]{{0,8}}{re.escape(label)}{end}", 100, 1.0))
+            add(label, ("spdx-license-identifier:",), rf"spdx-license-identifier:[ \t]{{0,8}}{re.escape(label)}{end}", 100, 1.0)
     for label, sentences in _SENTENCES.items():
         for keyword, sentence in sentences:
-            out.append(Rule(label, keyword, sentence.replace(" ", r"[\s*#/]{1,8}"), 30 if label.startswith(("warr", "copy")) else 90, 0.3 if label.startswith(("warr", "copy")) else 0.9))
+            add(label, (keyword,), sentence.replace(" ", r"[\s*#/]{1,8}"), 30 if label.startswith(("warr", "copy")) else 90, 0.3 if label.startswith(("warr", "copy")) else 0.9)
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.regex)))
 
 
+def gate_words() -> tuple[str, ...]:
+    """A few words of which every text that any rule matches holds one."""
+    left, out = list(rules()), []
+    words = sorted({r.keyword for r in left})
+    covers = lambda w, r: any(w in n for n in r.needs)
+    while left:
+        out.append(max(words, key=lambda w: (sum(covers(w, r) for r in left), len(w))))
+        left = [r for r in left if not covers(out[-1], r)]
+    return tuple(out)
+
+
 def _table() -> Column:
-    """The rules as one constant array."""
+    """The rules by keyword as one constant array; rank is a rule's place in the order."""
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ",".join(
-        f"named_struct('label',{q(r.label)},'keyword',{q(r.keyword)},'regex',{q(r.regex)},'priority',{r.priority},'confidence',{r.confidence}D)"
-        for r in rules()
-    )
-    return F.expr(f"array({rows})")
+    by_keyword: dict[str, list[str]] = {}
+    for i, r in enumerate(rules()):
+        by_keyword.setdefault(r.keyword, []).append(
+            f"named_struct('rank',{i},'label',{q(r.label)},'needs',array({','.join(map(q, r.needs))}),'regex',{q(r.regex)},'priority',{r.priority},'confidence',{r.confidence}D)"
+        )
+    groups = ",".join(f"named_struct('keyword',{q(k)},'rules',array({','.join(v)}))" for k, v in by_keyword.items())
+    return F.expr(f"array({groups})")
+
 
+def detect(docs: DataFrame, gated: bool = True) -> DataFrame:
+    """``docs`` with lic_hits: array<struct<label,priority,confidence,start,end>> after suppression.
 
-def detect(docs: DataFrame) -> DataFrame:
-    """``docs`` with lic_hits: array<struct<label,priority,confidence,start,end>> after suppression."""
+    Without ``gated`` every rule is searched for in every text, with the same result.
+    """
     low = lower_ascii(F.coalesce("text", F.lit("")))
-    gate = functools.reduce(lambda a, b: a | b, [F.contains("lic_low", F.lit(w)) for w in PRIME])
     rows = docs.withColumn("lic_low", low)
-    apt = F.filter(_table(), lambda r: F.contains("lic_low", r["keyword"]))
+    holds_word = lambda w: F.contains("lic_low", w)
+    groups, gate = _table(), F.lit(True)
+    if gated:
+        gate = functools.reduce(lambda a, b: a | b, [holds_word(F.lit(w)) for w in gate_words()])
+        groups = F.filter(groups, lambda g: holds_word(g["keyword"]))
+    apt = F.flatten(F.transform(groups, lambda g: g["rules"]))
+    if gated:
+        apt = F.filter(apt, lambda r: F.forall(r["needs"], holds_word))
+    apt = F.array_sort(apt)
 
     def found(r: Column) -> Column:
         return F.transform(

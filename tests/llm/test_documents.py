@@ -200,5 +200,56 @@ def test_license_rules_and_suppression(spark):
         assert rule.keyword == rule.keyword.lower()
 
 
+def example(regex, r, gap):
+    """A text that the regex matches, lookarounds aside; white space is ``gap``."""
+
+    def made(parts):
+        out = ""
+        for op, arg in parts:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                first = arg[0]
+                if any(str(k) == "CATEGORY" for k, _ in arg):
+                    out += gap
+                else:
+                    out += chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])
+            elif op == "NOT_LITERAL":
+                out += "x"
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = arg
+                out += "".join(made(inner) for _ in range(r.randint(low, min(high, low + 1))))
+            elif op == "BRANCH":
+                out += made(r.choice(arg[1]))
+            elif op == "SUBPATTERN":
+                out += made(arg[-1])
+            else:
+                assert op in ("ASSERT", "ASSERT_NOT"), op
+        return out
+
+    return made(re._parser.parse(regex))
+
+
+def test_license_gates_lose_no_rule(spark):
+    r = random.Random(8)
+    texts = [(k, example(rule.regex, r, gap)) for k, rule in enumerate(licenses.rules()) for gap in (" ", "\n") for _ in range(3)]
+    rows = spark.createDataFrame([(k, t.upper() if i % 2 else t) for i, (k, t) in enumerate(texts)], "doc_id bigint, text string").repartition(8)
+    every = licenses.detect(rows, gated=False).select("doc_id", "text", F.col("lic_hits").alias("want"))
+    both = every.join(licenses.detect(rows).distinct(), ["doc_id", "text"]).distinct().collect()
+    assert all(x["want"] == x["lic_hits"] for x in both)
+    rules = spark.createDataFrame([(k, rule.regex) for k, rule in enumerate(licenses.rules())], "doc_id bigint, regex string")
+    low = rows.join(rules, "doc_id").where(F.expr("rlike(lower(text), regex)"))
+    assert {x["doc_id"] for x in low.select("doc_id").collect()} == set(range(448)) == {x["doc_id"] for x in both if x["want"]}
+
+
+def test_license_named_without_any_common_word(spark):
+    texts = {"mpl-2.0": "Released under MPL 2.0.", "apache-2.0": "Apache-2.0", "mit": "shall be included in all copies or\nsubstantial portions", "gfdl-1.3": "see FDL 1.3"}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id bigint, text string")
+    got = {x["doc_id"]: x for x in licenses.license_digest(rows).collect()}
+    for i, label in enumerate(texts):
+        assert got[i]["labels"] == label and got[i]["score"] > 0
+
+
 def test_corpus_fixture_is_odd_enough():
     assert any(r[0] is None for r in corpus()) and any(r[1] is None for r in corpus())
