@@ -165,17 +165,21 @@ def minhash_similarity(a: Column, b: Column, slots: int = 64) -> Column:
 
 
 def minhash_pairs(rows: DataFrame, key: str, tokens: str, threshold: float = 0.9, slots: int = 64, bands: int = 16) -> DataFrame:
-    """(left, right, similarity) of distinct token sets that share a band and reach the threshold.
+    """(left, right, similarity, copy): links of equal signatures, and of those that share a band and reach the threshold.
 
-    Equal signatures are one class, named by their least key, so copies do not
-    make pairs; rows of a class are in ``minhash_classes``.
+    Equal signatures are one class, named by its least key. A copy's row has the
+    class as left and the member as right, so a class gives as many rows as it
+    has further members; the other rows link two classes, and all members of
+    both with them.
     """
-    signed = rows.select(F.col(key).alias("k"), minhash_signature(F.col(tokens), slots).alias("sig")).where(F.size("sig") > 0)
+    signed = rows.select(F.col(key).alias("k"), minhash_signature(F.col(tokens), slots).alias("sig")).where(F.size("sig") > 0).persist()
     classes = signed.groupBy("sig").agg(F.min("k").alias("k"))
+    named = signed.join(classes.withColumnRenamed("k", "left"), "sig").where("NOT k <=> left")
+    copies = named.select("left", F.col("k").alias("right"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
     per = slots // bands
     parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * per + 1, per)))
     banded = classes.select("k", "sig", F.explode(parts).alias("band"))
     left = banded.select(F.col("k").alias("left"), F.col("sig").alias("lsig"), "band")
     right = banded.select(F.col("k").alias("right"), F.col("sig").alias("rsig"), "band")
     pairs = left.join(right, "band").where("left < right").select("left", "right", minhash_similarity(F.col("lsig"), F.col("rsig"), slots).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold).distinct()
+    return copies.distinct().unionByName(pairs.where(F.col("similarity") >= threshold).distinct().withColumn("copy", F.lit(False)))

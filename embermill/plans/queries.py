@@ -649,7 +649,7 @@ def minhash_signature(spark, sf_dir):
 
 @query()
 def minhash_neardup(spark, sf_dir):
-    """Pairs of distinct texts with near signatures; the hash has no SQL form: tests compare exact similarities."""
+    """Copies with their class, and pairs of classes with near signatures; the hash has no SQL form: tests compare exact similarities."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", F.filter(F.split("text", "[ \t\n]+"), lambda t: t != "").alias("tokens"))
     return stats.minhash_pairs(rows, "doc_id", "tokens", 0.9)

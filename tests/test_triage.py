@@ -211,6 +211,29 @@ def test_sketches(spark):
     assert r["same"] == 1.0 and r["near"] > 0.4 and r["far"] < 0.4
 
 
+def test_near_copies_by_brute_force(spark, tmp_path):
+    from embermill.plans.queries import QUERIES
+
+    base = [[f"w{k}x{i}" for i in range(300)] for k in range(4)]
+    texts = [" ".join(b) for b in base]
+    texts += [texts[0]] * 3 + [" ".join(reversed(base[0])), texts[0] + " w0x1 w0x2", " ".join(base[0][:-6] + ["other"]), texts[1] + " more", texts[1] + "\nmore", "", " \n"]
+    docs = [(100 - i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["minhash_neardup"](spark, str(tmp_path)).collect()
+    sets = {k: frozenset(t.split()) for k, t in docs if t.split()}
+    rows = spark.createDataFrame([(k, list(s)) for k, s in sets.items()], "k bigint, tokens array<string>")
+    sig = {r["k"]: r["sig"] for r in rows.select("k", stats.minhash_signature(F.col("tokens")).alias("sig")).collect()}
+    alike = lambda a, b: sum(x == y for x, y in zip(sig[a], sig[b])) / 64
+    want = {(a, b): alike(a, b) for a in sets for b in sets if a < b and alike(a, b) >= 0.9}
+    of = {k: k for k in sets} | {r["right"]: r["left"] for r in got if r["copy"]}
+    link = {(r["left"], r["right"]): r["similarity"] for r in got if not r["copy"]}
+    found = {(a, b): 1.0 if of[a] == of[b] else link.get((min(of[a], of[b]), max(of[a], of[b]))) for a in sets for b in sets if a < b}
+    assert {p: x for p, x in found.items() if x is not None} == want and link
+    assert all(sig[of[k]] == sig[k] and of[k] == min(j for j in sets if sig[j] == sig[k]) for k in sets)
+    exact = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in found}
+    assert all((p in want) == (x >= 0.9) for p, x in exact.items()) and sum(x == 1 for x in exact.values()) >= 11
+
+
 def test_engine_filters_never_reach_the_groups(spark):
     lines = [f"2024-03-15T10:{i // 60:02d}:{i % 60:02d}Z {'ERROR' if i % 10 == 0 else 'INFO'} [svc] job {i} done" for i in range(200)] + ["    at x.y(z)"]
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "source_id int, seq bigint, raw string")
