@@ -638,12 +638,23 @@ def time_window_rate(spark, sf_dir):
     return stats.window_rate(events(spark, sf_dir), "at", HOUR, 24).withColumn("rate", F.round("rate", 9))
 
 
+def _words(text):
+    return F.filter(F.split(text, "[ \t\n]+"), lambda t: t != "")
+
+
+def signed(rows):
+    """``rows`` with words, all of the text's, and their signature as sig."""
+    return rows.withColumn("words", _words(F.col("text"))).withColumn("sig", stats.minhash_signature(F.col("words")))
+
+
 @query("SELECT conv_id, turn, true AS whole, true AS same FROM conversations")
 def minhash_signature(spark, sf_dir):
-    sig = stats.minhash_signature(templates.tokenize(F.col("text")))
-    again = stats.minhash_signature(F.reverse(templates.tokenize(F.col("text"))))
-    return _talk(spark, sf_dir).select(
-        "conv_id", "turn", (F.size(sig) == F.when(F.trim("text") == "", 0).otherwise(64)).alias("whole"), (sig == again).alias("same")
+    """Whole texts are signed; the signature has no SQL form: it must be that of the reversed words, merged from two parts."""
+    again = F.reverse("words")
+    head, tail = F.slice(again, 1, 64), F.slice(again, 65, F.greatest(F.size(again), F.lit(1)))
+    merged = F.zip_with(stats.minhash_signature(head), stats.minhash_signature(tail), lambda a, b: F.least(a, b))
+    return signed(_talk(spark, sf_dir)).select(
+        "conv_id", "turn", (F.size("sig") == F.when(F.size("words") == 0, 0).otherwise(64)).alias("whole"), (F.col("sig") == merged).alias("same")
     )
 
 
@@ -651,7 +662,7 @@ def minhash_signature(spark, sf_dir):
 def minhash_neardup(spark, sf_dir):
     """Copies with their class, and pairs of classes with near signatures; the hash has no SQL form: tests compare exact similarities."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", F.filter(F.split("text", "[ \t\n]+"), lambda t: t != "").alias("tokens"))
+    rows = docs.select("doc_id", _words(F.col("text")).alias("tokens"))
     return stats.minhash_pairs(rows, "doc_id", "tokens", 0.9)
 
 

@@ -211,6 +211,21 @@ def test_sketches(spark):
     assert r["same"] == 1.0 and r["near"] > 0.4 and r["far"] < 0.4
 
 
+def test_signatures_take_every_word(spark, tmp_path):
+    from embermill.plans import queries
+
+    texts = ["", " \n", "a", "a b\nc", " ".join(f"w{i}" for i in range(64)), " ".join(f"w{i % 250}" for i in range(300))]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id bigint, turn int, text string")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    each = rows.select("conv_id", F.explode(F.split("text", "[ \n]+")).alias("w")).where("w <> ''")
+    each = each.select("conv_id", F.posexplode(F.array(*[F.xxhash64(F.lit(i), "w") for i in range(64)])).alias("slot", "h"))
+    want = {(r["conv_id"], r["slot"]): r["h"] for r in each.groupBy("conv_id", "slot").agg(F.min("h").alias("h")).collect()}
+    got = {(r["conv_id"], i): h for r in queries.signed(rows).collect() for i, h in enumerate(r["sig"])}
+    assert got == want and len(got) == 64 * 4
+    out = queries.QUERIES["minhash_signature"](spark, str(tmp_path)).collect()
+    assert len(out) == 6 and all(r["whole"] and r["same"] for r in out)
+
+
 def test_near_copies_by_brute_force(spark, tmp_path):
     from embermill.plans.queries import QUERIES
 
