@@ -120,6 +120,26 @@ def test_near_vectors_by_brute_force(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_audit_leaves_out_a_querys_own_class(monkeypatch):
+    class Blind:
+        """Finds a point itself at the first width, and all at wider ones."""
+
+        def __init__(self, x, cfg):
+            self.x, self.first = x, cfg.beam
+
+        def within(self, q, width, limit):
+            sims = q @ self.x.T
+            return np.nonzero(sims >= (0.9999 if width <= self.first else limit))
+
+    monkeypatch.setattr(near_vectors, "SmallWorld", Blind)
+    cfg = near_vectors.Near(audit=500)
+    x = np.eye(400) + 0.0
+    x[1] = x[0] + 0.1 * x[2]
+    names = np.arange(400)
+    i, p = near_vectors.shard_links(x, x, cfg, names, names)
+    assert {(a, b) for a, b in zip(i.tolist(), p.tolist()) if a != b} == {(0, 1), (1, 0)}
+
+
 def test_small_world_recall():
     r = np.random.default_rng(3)
     x = r.normal(size=(3000, 24))
