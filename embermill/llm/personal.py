@@ -307,8 +307,10 @@ def find_spans(docs: DataFrame, precision: float = 0.95) -> DataFrame:
             spans, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
         )
 
-    # Most texts hold none of these characters together: they pass untouched.
+    # Most texts hold none of these characters together: they pass untouched. Only spoken
+    # emails, keys and hardware addresses can do without a digit, '@' or '+'.
     gate = text.rlike("[0-9@+]") | F.contains(text, F.lit("at")) & text.rlike(r"(?:\(at\)|\[at\]| at )[^\n]{0,66}dot")
+    gate = gate | text.rlike(r"(?:AKIA|ASIA|gh[po]_|sk-|sk_live_|xox[bp]-)[A-Za-z0-9_-]{12}|[A-Fa-f]{2}[:-][A-Fa-f]{2}[:-]")
     rows = docs.withColumn("pii_gate", gate)
     rows = rows.withColumns(
         {f"pii_{k}": F.when(F.col("pii_gate"), c).otherwise(_none()) for k, c in base.items()}
