@@ -250,3 +250,62 @@ def test_early_bound_covers_partners():
             for other in range(-(-size * percent // 100), size * 100 // percent + 1):
                 _, shown = jaccard.early(np.array([other]), percent)
                 assert shown[0] == other or shown[0] >= tested[0] + jaccard.spare(other, percent)
+
+
+# ------------------------------------------------------------------ near vectors: crowds and odd sizes
+
+
+def test_near_vectors_crowd_common_vector_and_magnitudes(spark):
+    """One group of 2,000 near copies, one vector held by 500 rows, and huge and tiny vectors, over several shards and blocks."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 24))
+    x[100:2100] = x[100] + r.normal(size=(2000, 24)) * 0.08
+    x[2100:2600] = x[2100]
+    x[2700] = x[2699] * 1e-170
+    x[2701] = x[2699] * 1e170
+    clash = ("h1", "h2", "shard", "block", "place", "near", "width", "links", "component", "copies", "d", "v", "task", "kept")
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    df = df.withColumns({c: F.lit("own") for c in clash}).repartition(5)
+    got = {g["vec_id"]: g for g in near_vectors.near_vectors(df, near_vectors.Near(shard_rows=900, query_rows=700)).collect()}
+    u = near_vectors.unit(x)
+    a = u @ u.T >= 0.95
+    np.fill_diagonal(a, False)
+    comp = union([(int(i), int(j)) for i, j in zip(*np.nonzero(a)) if i < j] + [(i, i) for i in range(3000)])
+    links = a.sum(1)
+    assert sum(got[i]["n_links"] for i in range(3000)) >= 0.999 * links.sum()
+    assert got[2701]["n_links"] == links[2701] >= 2 and got[2100]["n_links"] >= 499
+    assert [got[i]["component_id"] for i in range(3000)] == [comp[i] for i in range(3000)]
+    assert all(got[i]["kept"] == (comp[i] == i) for i in range(3000))
+
+
+def test_near_vectors_cost_of_a_crowd_is_its_pairs():
+    """A beam stops widening at its crowd: members beyond it are compared with the shard at once."""
+    r = np.random.default_rng(6)
+    x = near_vectors.unit(r.normal(size=(1, 32)) + r.normal(size=(1500, 32)) * 0.1)
+    cfg = near_vectors.Near()
+    graph = near_vectors.SmallWorld(x.astype(np.float32), cfg)
+    widths = []
+    search = graph.search
+    graph.search = lambda q, width: widths.append(width) or search(q, width)
+    i, p = graph.within(x[:400].astype(np.float32), cfg.beam, 0.9)
+    assert max(widths) <= cfg.crowd and len(i) == (x[:400] @ x.T >= 0.9).sum()
+
+
+def test_stored_graph_searches_like_the_built_one():
+    r = np.random.default_rng(7)
+    x = near_vectors.unit(r.normal(size=(900, 12))).astype(np.float32)
+    cfg = near_vectors.Near()
+    built = near_vectors.SmallWorld(x, cfg)
+    levels = np.zeros(900, int)
+    for k, member in enumerate(built.members):
+        levels[member] = k
+    again = near_vectors.SmallWorld.of(x, built.layers[0], [built.layers[k][m] for k, m in enumerate(built.members) if k], levels, cfg)
+    for a, b in zip(built.search(x[:50], 16), again.search(x[:50], 16)):
+        assert (a == b).all()
+    assert near_vectors.audited_width(built, 0.9499, cfg) <= 900
+
+
+def test_labels_join():
+    label = np.arange(8)
+    near_vectors.join_labels(label, np.array([1, 3, 6]), np.array([2, 2, 7]))
+    assert label.tolist() == [0, 1, 1, 1, 4, 5, 6, 6]
