@@ -3,8 +3,10 @@
 A text is cut at single ASCII spaces, each distinct piece is encoded once per
 worker and the ids are joined.  That is the same as encoding the whole text
 wherever a space is always a boundary of the tokenizer's own pre-split; texts
-where it may not be (runs of white space, for byte-level vocabularies) and
-tokenizers of any other make are encoded whole.
+where it may not be (runs of white space, for byte-level vocabularies), texts
+that may hold the string of an added token (which a plain encode gives that
+token's id, unless ``special_as_text``) and tokenizers of any other make are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker keeps; others are encoded once for each run of texts (speed only, never results).
-CACHE_PIECES = 1_000_000
+#: Memory of the pieces that a worker keeps, by the sizes of Python's objects; others are encoded once
+#: for each run of texts (speed only, never results).
+CACHE_BYTES = 160_000_000
+PIECE_BYTES = 170  # of a piece, its ids and its place in the cache, without their letters and ids
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.mallopt(-8, 1)  # M_ARENA_MAX: one heap, so that trimming gives all of it back
@@ -42,11 +46,13 @@ def forget_encoders() -> None:
     _give_back()
 
 
-def encoder(tokenizer_json: str) -> "PieceEncoder":
+def encoder(tokenizer_json: str, special_as_text: bool = False) -> "PieceEncoder":
+    """This worker's encoder; it keeps one, and gives up any other with its cache."""
     lean()
-    key = str(hash(tokenizer_json))
+    key = f"{hash(tokenizer_json)} {special_as_text}"
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(tokenizer_json)
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(tokenizer_json, special_as_text)
     return _ENCODERS[key]
 
 
@@ -58,14 +64,21 @@ def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray
 class PieceEncoder:
     """Ids of whole texts; ``flat`` gives one array for a run of texts."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.mode = _mode(json.loads(tokenizer_json))
+        self.tokenizer.encode_special_tokens = special_as_text
+        spec = json.loads(tokenizer_json)
+        self.mode = _mode(spec)
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        #: What every added token's string starts with, if that is no letter: texts without it hold none.
+        self.guard = os.path.commonprefix(added) if added and not special_as_text else ""
+        if added and not special_as_text and (not self.guard or self.guard != self.guard.lower() or self.guard[0].isalnum()):
+            self.mode = "whole"
         self.cache: dict[str, bytes | None] = {}
+        self.held = 0
         self.marks = {"": b""} | {m: self._whole([m])[0] for m in ",.;:!?"}
         self.line = self._whole(["\n"])[0]
         self.between = -1
@@ -74,7 +87,7 @@ class PieceEncoder:
             from tokenizers import pre_tokenizers as pt
 
             self.bare = Tokenizer.from_str(tokenizer_json)
-            self.bare.encode_special_tokens = True
+            self.bare.encode_special_tokens = special_as_text
             self.bare.normalizer = None
             self.bare.pre_tokenizer = pt.Sequence(
                 [pt.WhitespaceSplit(), pt.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -96,16 +109,29 @@ class PieceEncoder:
                 at = end
         return out
 
-    def flat(self, texts: pa.Array, run_bytes: int = 12_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def flat(self, texts: pa.Array, run_bytes: int = 6_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Runs of texts: (ids of all of them, end of each text's ids)."""
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         start = 0
         while start < len(texts):
             n = int(np.searchsorted(np.cumsum(sizes[start:]), run_bytes)) + 1
-            yield self._run(texts.slice(start, n))
+            yield self._guarded(texts.slice(start, n))
             _give_back()
             start += n
 
+    def _guarded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``_run`` for the texts that hold no added token's string; the others whole."""
+        if self.mode == "whole" or not self.guard:
+            return self._run(texts)
+        special = pc.match_substring(texts, self.guard)
+        if not pc.any(special).as_py():
+            return self._run(texts)
+        ids, ends = self._run(pc.if_else(special, "", texts))
+        each = np.split(ids, ends[:-1])
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            each[i] = np.frombuffer(self._whole([texts[i].as_py()])[0], "<u4")
+        return np.concatenate(each), np.cumsum([len(e) for e in each])
+
     def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.mode == "whole":
             each = self._whole(texts.to_pylist())
@@ -198,8 +224,14 @@ class PieceEncoder:
         for p, stem, mark, head in made:
             cache[p] = cache[stem] + mark + (head_ids[head] if head else b"")
         new |= stems
-        keep = CACHE_PIECES - (len(cache) - len(new))
-        return list(new)[max(0, keep) :]
+        spare = []
+        for p in new:
+            size = PIECE_BYTES + len(p) + len(cache[p] or b"")
+            if self.held + size > CACHE_BYTES:
+                spare.append(p)
+            else:
+                self.held += size
+        return spare
 
     def _apart(self, pieces: list[str]) -> list[bytes]:
         """Each piece's ids, by encoding runs of pieces with a digit between them.

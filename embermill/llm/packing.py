@@ -1,8 +1,8 @@
 """Pack documents into fixed-length training sequences with little padding.
 
 Documents are dealt at random (a hash of id and text) into groups of about
-``group_docs``; each group is packed on its own by first-fit decreasing over a
-tournament tree of bin capacities.  Full-length pieces of a document are
+``group_bytes`` of text, however long each is; each group is packed on its own
+by first-fit decreasing over a tournament tree of bin capacities.  Full-length pieces of a document are
 sequences of their own; its remainder is an item.  A cut is free here, so when
 a group's first-fit bins leave more than ``slack`` of padding, the emptiest bins
 are dissolved and their items poured into the gaps of the others.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import executors_parallelism, ship
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -115,19 +115,24 @@ def pack_documents(
     *,
     end_id: int = 1,
     capacity: int = 2048,
-    group_docs: int = 1024,
+    group_bytes: int = 4 << 20,
+    row_bytes: int = 64,
     seed: int = 17,
     slack: float = 0.002,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text) with their ids, sequence and offset.
 
     Texts are encoded where they are read; one shuffle carries the ids (two
-    bytes each while the vocabulary allows) to the groups.
+    bytes each while the vocabulary allows) to the groups.  A document weighs its
+    text and ``row_bytes``, so empty ones fill a group too; a task takes a few groups
+    at any input.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(tokenizer_json)
-    groups = max(1, -(-docs.count() // group_docs))
+    weight = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + row_bytes
+    groups = max(1, -(-(docs.agg(F.sum(weight)).first()[0] or 0) // group_bytes))
+    tasks = min(groups, max(executors_parallelism(spark), -(-groups // 8)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from embermill.llm.encoding import encoder, with_end
@@ -153,27 +158,42 @@ def pack_documents(
                 done += len(ends)
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        names, ids = table.column("doc_id").to_pylist(), table.column("ids").to_pylist()
-        width = table.column("width").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (names[i] is not None, names[i] or 0, ids[i]))
-        wide = [np.frombuffer(ids[i], f"<u{width[i]}").astype("<u4") for i in order]
-        pieces, _ = pack_lengths([len(w) for w in wide], capacity, slack)
-        base = bucket << 32
         from embermill.llm.encoding import _give_back
 
-        _give_back()
-        return pa.table(
+        bucket = key[0].as_py()
+        names, raw = table.column("doc_id").to_pylist(), table.column("ids").combine_chunks()
+        width = table.column("width").to_numpy()
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        body = memoryview(raw.buffers()[2] or b"")
+        bytes_of = [body[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        order = sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or 0, bytes(bytes_of[i])))
+        lengths = ((ends[1:] - ends[:-1]) // width)[order]
+        ids = np.concatenate([np.frombuffer(bytes_of[i], f"<u{width[i]}").astype("<u4") for i in order])
+        pieces, _ = pack_lengths(lengths.tolist(), capacity, slack)
+        item, start, length, bin_, offset = np.array(pieces, np.int64).reshape(-1, 5).T
+        # every piece's ids, taken from the documents' in the order of the pieces
+        first = (np.cumsum(lengths) - lengths)[item] + start
+        to = np.cumsum(length)
+        at = np.repeat(first - (to - length), length) + np.arange(int(to[-1]) if len(to) else 0)
+        own = pa.Array.from_buffers(
+            pa.binary(),
+            len(item),
+            [None, pa.py_buffer((4 * np.concatenate([[0], to])).astype(np.int32)), pa.py_buffer(ids[at])],
+        )
+        out = pa.table(
             {
-                "doc_id": pa.array([names[order[p[0]]] for p in pieces], pa.int64()),
-                "start": pa.array([p[1] for p in pieces], pa.int64()),
-                "length": pa.array([p[2] for p in pieces], pa.int64()),
-                "ids": pa.array([wide[p[0]][p[1] : p[1] + p[2]].tobytes() for p in pieces], pa.binary()),
-                "doc_tokens": pa.array([len(wide[p[0]]) for p in pieces], pa.int64()),
-                "sequence_id": pa.array([base + p[3] for p in pieces], pa.int64()),
-                "offset": pa.array([p[4] for p in pieces], pa.int64()),
+                "doc_id": pa.array(names, pa.int64()).take(pa.array(np.array(order, np.int64)[item])),
+                "start": start,
+                "length": length,
+                "ids": own,
+                "doc_tokens": lengths[item].astype(np.int64),
+                "sequence_id": (bucket << 32) + bin_,
+                "offset": offset,
             }
         )
+        del ids, at, bytes_of, body
+        _give_back()
+        return out
 
     text = F.coalesce("text", F.lit(""))
     dealt = docs.select(
@@ -182,7 +202,7 @@ def pack_documents(
         text.alias("text"),
     )
     coded = dealt.mapInArrow(encode, "doc_id long, bucket long, width int, ids binary")
-    return coded.groupBy("bucket").applyInArrow(pack, PIECE_SCHEMA)
+    return coded.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(pack, PIECE_SCHEMA)
 
 
 def packing_digest(docs: DataFrame, tokenizer_json: str, **options) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from embermill.llm import packing, token_store
 from embermill.llm.encoding import PieceEncoder
@@ -15,6 +16,14 @@ from embermill.llm.shared import new_path
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 ENCODERS = {name: PieceEncoder(vocabulary(name)) for name in (WORD, BYTE)}
+PLAIN = {name: Tokenizer.from_str(vocabulary(name)) for name in (WORD, BYTE)}
+
+
+def plain(name, texts):
+    """Ids by the library alone, each text on its own."""
+    return [np.array(PLAIN[name].encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n a", "a\n", "a\n b", "x.\nNew", "<|endoftext|> x <|endoftext|>", "don't 's 'S  12 3,4", "İ Σας ΟΔΟΣ",
        "é ́a", "a\x1c b", "　x 0 y", "!, ?. ...", "0 0 00", "A,b;C:d! e?", "İ. a\x85b", "tab\tend ", "q\x000 z"]
 
@@ -23,14 +32,35 @@ ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n a", "a\n", "a\n b",
 def test_pieces_are_the_whole(name):
     e = ENCODERS[name]
     assert e.mode != "whole"
-    assert e.encode(ODD) == e._whole(ODD) == e.encode(ODD)
+    assert e.encode(ODD) == plain(name, ODD) == e.encode(ODD)
+
+
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_special_strings(name):
+    """A plain encode gives an added token's string its id; as text on demand."""
+    text = "a <|endoftext|> x<|startoftext|> <|ENDOFTEXT|> <| b"
+    other = PieceEncoder(vocabulary(name), special_as_text=True)
+    assert ENCODERS[name].encode(["b", text, "c"]) == plain(name, ["b", text, "c"])
+    end = PLAIN[name].token_to_id("<|endoftext|>")
+    assert end in np.frombuffer(ENCODERS[name].encode([text])[0], "<u4")
+    assert end not in np.frombuffer(other.encode([text])[0], "<u4")
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    from embermill.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHE_BYTES", 5_000)
+    e = PieceEncoder(vocabulary(BYTE))
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    assert e.encode(texts) == plain(BYTE, texts) == e.encode(texts)
+    assert e.held <= 5_000 and len(e.cache) <= 5_000 // encoding.PIECE_BYTES + 1
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("aAbß 0\n\t.,'!<|>é́İ\x1c　"), max_size=30), st.sampled_from([WORD, BYTE]))
 def test_pieces_are_the_whole_on_any_text(text, name):
     e = ENCODERS[name]
-    assert e.encode([text, "other", text]) == e._whole([text, "other", text])
+    assert e.encode([text, "other", text]) == plain(name, [text, "other", text])
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
@@ -43,7 +73,7 @@ def test_planes_round_trip(planes):
 
 def expected(docs, name, end):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
-    return [(d, np.frombuffer(i, "<u4").tolist() + [end]) for (d, _), i in zip(rows, ENCODERS[name]._whole([t for _, t in rows]))]
+    return [(d, np.frombuffer(i, "<u4").tolist() + [end]) for (d, _), i in zip(rows, plain(name, [t for _, t in rows]))]
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
@@ -87,9 +117,9 @@ def check_packing(pieces, want, capacity=2048):
 
 def test_packing_covers_every_id(clashing):
     want = expected(clashing, BYTE, 1)
-    pieces = packing.packing_digest(clashing, vocabulary(BYTE), group_docs=16, capacity=256).collect()
+    pieces = packing.packing_digest(clashing, vocabulary(BYTE), group_bytes=40_000, capacity=256).collect()
     assert check_packing(pieces, want, 256) < 0.1
-    again = packing.packing_digest(clashing.repartition(3), vocabulary(BYTE), group_docs=16, capacity=256).collect()
+    again = packing.packing_digest(clashing.repartition(3), vocabulary(BYTE), group_bytes=40_000, capacity=256).collect()
     key = lambda p: tuple(map(repr, p))
     assert sorted(map(key, pieces)) == sorted(map(key, again))
 
