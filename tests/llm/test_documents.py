@@ -57,6 +57,47 @@ def test_mixed_documents_cut_and_repeat(docs):
     assert {r["shard"] for r in made} == {0}
 
 
+def test_mixed_shards_hold_what_the_tree_gave(clashing):
+    """Over several shards: quotas of blocks as the tree split them, copies where the digest says, each shard in random order."""
+    mix = mixing.Mix(block_words=64, shard_words=3000)
+    made = mixing.mix_documents(clashing, mix)
+    rows = made.withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    assert len({r["shard"] for r in rows}) > 5
+    assert all(len({r["task"] for r in rows if r["shard"] == s}) == 1 for s in {r["shard"] for r in rows})
+    for s in {r["shard"] for r in rows}:
+        places = [r["place"] for r in sorted(rows, key=lambda r: r["at"]) if r["shard"] == s]
+        assert places == sorted(places)
+    want = {}
+    for r in mixing.mixing_digest(clashing, mix).collect():
+        if r["size"]:
+            want.setdefault(r["doc_id"], []).append((r["taken"], sorted(r["shards"])))
+    got = {}
+    for r in rows:
+        if r["size"]:
+            got.setdefault(r["doc_id"], []).append((r["words"], r["shard"]))
+    for d, copies in got.items():
+        assert sum(w for w, _ in copies) == sum(t for t, _ in want[d])
+        assert sorted(s for _, s in copies) == sorted(s for _, shards in want[d] for s in shards)
+
+
+def test_every_draw_is_the_trees():
+    runs = [[(b, None) for b in range(9)] + [(0, 5)], [(3, None), (1, 2)]]
+    quotas = mixing.split_tree(np.array([10, 2]), 4, 3)
+    drawn = mixing.draw_blocks(runs, quotas)
+    for shard in range(4):
+        for i in (0, 1):
+            assert sum(s == shard for (k, _), own in drawn.items() if k == i for s, _ in own) == quotas[shard, i]
+    flat = [(i, b, p) for (i, b), own in drawn.items() for _, p in own]
+    assert sorted(flat, key=repr) == sorted(((i, b, p) for i, r in enumerate(runs) for b, p in r), key=repr)
+
+
+def test_cut_copies_keep_their_white_space(spark):
+    text = "  one\ttwo\n\nthree  four five "
+    rows = [(i, text, "en", "s", 0) for i in range(10)]
+    made = mixing.mix_documents(spark.createDataFrame(rows, DOC), mixing.Mix(share=0.5)).collect()
+    assert made and all(text.startswith(r["text"]) and len(r["text"].split()) == r["words"] for r in made)
+
+
 def test_mix_of_nothing(empty, spark):
     assert mixing.mixing_digest(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None, "a", 0), (2, "", None, None, 0)], DOC)
