@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
     numbered = with_seq(lines, "source_name", "line").withColumn("source_id", F.xxhash64("source_name"))
     triage = Triage(numbered, Intervals())
     color = not args.no_color and not args.json and out.isatty()
-    shown = triage.events(test, args.level, seconds).orderBy("seq").limit(args.ring_size)
+    shown = triage.events(test, args.level, seconds)
     if args.mode != "incident":
         rows = render.event_json(shown).orderBy("seq") if args.json else shown.select("severity", "message", "service", "seq").orderBy("seq")
         for r in rows.toLocalIterator():

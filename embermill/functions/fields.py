@@ -32,15 +32,14 @@ def value_of(kind: Column, text: Column) -> Column:
     )
 
 
-def inferred(text: Column) -> Column:
+def inferred_kind(text: Column) -> Column:
     """Plain decimal syntax is a number, true and false are booleans, the rest is text."""
-    kind = (
+    return (
         F.when(text.rlike(_INT) & text.try_cast("bigint").isNotNull(), F.lit("int"))
         .when(text.rlike(_FLOAT), F.lit("float"))
         .when(text.isin("true", "false"), F.lit("bool"))
         .otherwise(F.lit("string"))
     )
-    return value_of(kind, text)
 
 
 def no_fields() -> Column:

@@ -20,20 +20,25 @@ def is_continuation(line: Column) -> Column:
 
 def iso_nanos(text: Column) -> Column:
     """ISO-8601 at the start: nanoseconds since the epoch, whatever zone follows; null if out of range."""
-    part = lambda a, n: F.substr(text, F.lit(a), F.lit(n)).try_cast("int")
     shaped = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}")
+    seconds = F.unix_seconds(F.concat(F.left(text, F.lit(19)), F.lit("Z")).try_cast("timestamp"))
+    # What the calendar does not have (a day beyond its month's end, second 60) rolls over.
+    seconds = F.coalesce(seconds, _rolled_seconds(text))
+    digits = F.when(
+        F.substr(text, F.lit(20), F.lit(1)) == ".", F.regexp_extract(F.substr(text, F.lit(21), F.lit(9)), "^[0-9]+", 0)
+    )
+    fraction = F.coalesce(F.rpad(digits, 9, "0").try_cast("bigint"), F.lit(0))
+    return F.when(shaped, seconds * 1_000_000_000 + fraction)
+
+
+def _rolled_seconds(text: Column) -> Column:
+    part = lambda a, n: F.substr(text, F.lit(a), F.lit(n)).try_cast("int")
     year, month, day = part(1, 4), part(6, 2), part(9, 2)
     hour, minute, second = part(12, 2), part(15, 2), part(18, 2)
-    sound = (
-        shaped & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
-    )
-    # A day beyond its month's end rolls over.
+    sound = month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
     first = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-01"))
     days = F.unix_date(first.try_cast("date")) + day - 1
-    digits = F.regexp_extract(F.substr(text, F.lit(20), F.lit(11)), r"^\.([0-9]{1,9})", 1)
-    fraction = F.coalesce(F.rpad(digits, 9, "0").try_cast("bigint"), F.lit(0))
-    seconds = days.cast("bigint") * 86400 + hour * 3600 + minute * 60 + second
-    return F.when(sound, seconds * 1_000_000_000 + fraction)
+    return F.when(sound, days.cast("bigint") * 86400 + hour * 3600 + minute * 60 + second)
 
 
 def json_epoch_nanos(text: Column) -> Column:

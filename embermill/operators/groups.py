@@ -24,10 +24,11 @@ def with_template(events: DataFrame, message: str = "message") -> DataFrame:
     return events.withColumn("template", template(F.col(message)))
 
 
-def group_stats(events: DataFrame) -> DataFrame:
+def group_stats(events: DataFrame, *more: Column) -> DataFrame:
     """One row for each template: hash, count, exemplar, service, severity, sources, first and last time.
 
-    Partial aggregation does the work before the shuffle; hashes are of groups, not of events.
+    Partial aggregation does the work before the shuffle; hashes are of groups, not
+    of events. ``more``: further aggregates of the same pass.
     """
     named = events if "template" in events.columns else with_template(events)
     found = named.where(F.col("template") != "").groupBy("template").agg(
@@ -38,22 +39,27 @@ def group_stats(events: DataFrame) -> DataFrame:
         F.count_distinct("source_id").alias("source_count"),
         F.min_by("ts", "seq").alias("first_seen"),
         F.max_by("ts", "seq").alias("last_seen"),
+        *more,
     )
     return found.withColumns({"template_hash": template_hash(F.col("template")), "severity": severity_name(F.col("max_sev"))})
 
 
-def group_windows(events: DataFrame, now: Column, seconds: int) -> DataFrame:
-    """Per template: events in the window that ends with ``now``'s, and in the one before it (missing ones count 0)."""
-    named = events if "template" in events.columns else with_template(events)
+def window_counts(now: Column, seconds: int) -> tuple[Column, Column]:
+    """Aggregates: events in the window that ends with ``now``'s, and in the one before it (missing ones count 0)."""
     # floor of the epoch by the window: aligned to the epoch, dense by construction
     at = F.floor(F.unix_seconds("ts") / seconds)
     last = F.floor(F.unix_seconds(now) / seconds)
-    return named.where(F.col("template") != "").groupBy("template").agg(
+    return (
         F.sum((at == last).cast("bigint")).alias("count_short"),
         F.sum((at == last - 1).cast("bigint")).alias("count_prev_short"),
     )
 
 
+def group_windows(events: DataFrame, now: Column, seconds: int) -> DataFrame:
+    named = events if "template" in events.columns else with_template(events)
+    return named.where(F.col("template") != "").groupBy("template").agg(*window_counts(now, seconds))
+
+
 def trend(short: Column, previous: Column) -> Column:
     ratio = short / previous
     return (
@@ -82,9 +88,8 @@ def latest(events: DataFrame) -> DataFrame:
 
 def scored_groups(events: DataFrame, seconds: int = 60, decay_s: float = 30.0, now=None) -> DataFrame:
     """Group statistics with windows, trend and score at ``now`` (a literal; by default the last event's time)."""
-    named = events if "template" in events.columns else with_template(events)
     at = F.lit(now if now is not None else latest(events).first()["now"])
-    both = group_stats(named).join(group_windows(named, at, seconds), "template")
+    both = group_stats(events, *window_counts(at, seconds))
     both = both.withColumn("trend", trend(F.col("count_short"), F.col("count_prev_short")))
     age = F.unix_micros(at) / 1e6 - F.unix_micros("last_seen") / 1e6
     return both.withColumn(
@@ -96,13 +101,18 @@ def top_groups(groups: DataFrame, k: int = 20) -> DataFrame:
     return groups.orderBy(F.round("score", 9).desc(), "template").limit(k)
 
 
-def pipeline_stats(events: DataFrame) -> DataFrame:
+def pipeline_stats(events: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
+    """One row of counters; with ``alerts``, their number too. A batch drops nothing: unlike a bounded buffer, it reads all."""
     named = events if "template" in events.columns else with_template(events)
     span = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
-    return named.agg(
+    out = named.agg(
         F.count("*").alias("events_total"),
         F.count_distinct(F.when(F.col("template") != "", F.col("template"))).alias("groups"),
         F.count_distinct("trace_id").alias("traces"),
         F.lit(0).cast("bigint").alias("drops"),
         F.when(span > 0, F.count("*") / span).alias("events_per_sec"),
     )
+    if alerts is None:
+        return out
+    one = alerts.agg(F.count("*").alias("alerts"))  # one row each
+    return out.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one").drop("_one")

@@ -38,6 +38,7 @@ class Triage:
             parsed = parse_events(lock_formats(kept)).drop("format", "raw")
         # Kept in memory and on disk, and made again from lines if an executor is lost.
         self.parsed = groups.with_template(parsed).persist()
+        self._now = None
         self._kept: dict[str, DataFrame] = {"parsed": self.parsed}
 
     def release(self) -> None:
@@ -53,11 +54,11 @@ class Triage:
     def events(self, predicate: filters.Predicate = filters.Predicate(), min_severity: str | None = None, last_s: int | None = None) -> DataFrame:
         since = None
         if last_s is not None:
-            since = filters.last(F.lit(groups.latest(self.parsed).first()["now"]), last_s)
+            since = filters.last(F.lit(self.now()), last_s)
         return filters.display(self.parsed, predicate, min_severity, since)
 
     def groups(self) -> DataFrame:
-        return self._keep("groups", lambda: groups.scored_groups(self.parsed, self.every.window, self.every.decay))
+        return self._keep("groups", lambda: groups.scored_groups(self.parsed, self.every.window, self.every.decay, self.now()))
 
     def top_groups(self, k: int = 20) -> DataFrame:
         return groups.top_groups(self.groups(), k)
@@ -76,10 +77,19 @@ class Triage:
         return rate.unionByName(shift)
 
     def alerts(self) -> DataFrame:
-        return self._keep("alerts", lambda: anomaly.alerts(self.firings(), idle_s=self.every.alert_idle))
+        """Alerts with their state at the last event's time: active, or resolved when idle for long."""
+        return self._keep("alerts", lambda: anomaly.alerts(self.firings(), F.unix_seconds(F.lit(self.now())), self.every.alert_idle))
+
+    def now(self):
+        """The last event's time, found once."""
+        if self._now is None:
+            self._now = groups.latest(self.parsed).first()["now"]
+        return self._now
 
     def signals(self) -> DataFrame:
-        return correlate.alert_signals(self.firings())
+        """Firings, and the rising ones of the top groups at the last event's time."""
+        rising = self.groups().withColumn("tick", F.unix_seconds(F.lit(self.now())))
+        return correlate.alert_signals(self.firings()).unionByName(correlate.group_signals(rising))
 
     def hypotheses(self) -> DataFrame:
         effects = self.alerts().select(

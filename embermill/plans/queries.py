@@ -47,7 +47,7 @@ EV = """WITH ev AS (SELECT event_id AS seq, ts, user_id, event_type, value, prop
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = src.spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     kind = F.col("event_type")
     return rows.select(
         F.col("event_id").alias("seq"),
@@ -63,6 +63,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What groups and traces use of an event: the rest is not parsed for them.
+_GROUPED = ("severity", "message", "service", "ts_nanos")
+_TRACED = ("severity", "trace_id", "ts_nanos")
+
+
 def _iso():
     return F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
@@ -123,10 +128,10 @@ def mixed(rows: DataFrame) -> DataFrame:
     return own.withColumn("raw", pick).drop(*[f"raw{i}" for i in range(5)])
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as parsed from their logfmt lines: the table that most queries branch off."""
+def parsed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Events as parsed from their logfmt lines: the table that most queries branch off. ``columns``: those used (all)."""
     rows = logfmt(events(spark, sf_dir)).select("source_id", "seq", "raw")
-    return parsers.parse_events(rows, F.lit("logfmt"))
+    return parsers.parse_events(rows, F.lit("logfmt"), columns=columns or tuple(parsers.COLUMNS))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +162,12 @@ def glob_match(spark, sf_dir):
     return pages.where(F.col("url").rlike(src.glob_regex("http*/?*1"))).select("page_id", "url")
 
 
-@query(EV + "SELECT seq AS event_id, source_id, row_number() OVER (ORDER BY us, source_id, seq) AS merged FROM ev")
+@query(EV + "SELECT seq AS event_id, source_id, message AS raw, row_number() OVER (ORDER BY us, source_id, seq) AS merged FROM ev")
 def merge_sources(spark, sf_dir):
-    rows = events(spark, sf_dir).select(F.col("at").alias("ts"), "source_id", F.col("seq").alias("event_id"))
+    rows = events(spark, sf_dir).select(F.col("at").alias("ts"), "source_id", F.col("seq").alias("event_id"), F.col("msg").alias("raw"))
     parts = [rows.where(F.col("source_id") == i) for i in range(4)]
     merged = src.merge_sources(*parts, order=("ts", "source_id", "event_id"))
-    return merged.select("event_id", "source_id", F.col("seq").alias("merged"))
+    return merged.select("event_id", "source_id", "raw", F.col("seq").alias("merged"))
 
 
 @query(EV + "SELECT seq, service FROM ev ORDER BY seq DESC LIMIT 256")
@@ -345,12 +350,12 @@ SELECT source_id, key, n AS occurrences, main_type, CAST(1.0 AS DOUBLE) AS frequ
 
 @query(EV + _SCHEMA)
 def schema_infer(spark, sf_dir):
-    return formats.infer_schema(parsed(spark, sf_dir)).select("source_id", "key", "occurrences", "main_type", "frequency", "is_numeric")
+    return formats.infer_schema(parsed(spark, sf_dir, "fields")).select("source_id", "key", "occurrences", "main_type", "frequency", "is_numeric")
 
 
 @query(EV + _SCHEMA)
 def schema_stable(spark, sf_dir):
-    return formats.stable_fields(formats.infer_schema(parsed(spark, sf_dir))).select(
+    return formats.stable_fields(formats.infer_schema(parsed(spark, sf_dir, "fields"))).select(
         "source_id", "key", "occurrences", "main_type", "frequency", "is_numeric"
     )
 
@@ -386,13 +391,13 @@ _filter("intent_words", lambda: filters.parse_intent("clicks over 30s service:cl
 @query(EV + f"SELECT seq, severity, service FROM ev WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY")
 def filter_last(spark, sf_dir):
     since = filters.last(F.lit(NOW).cast("timestamp"), filters.parse_duration("7d"))
-    return filters.display(parsed(spark, sf_dir), since=since).select("seq", "severity", "service")
+    return filters.display(parsed(spark, sf_dir, "severity", "service", "ts_nanos"), since=since).select("seq", "severity", "service")
 
 
 @query(EV + f"SELECT seq, severity, service FROM ev WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 72 HOUR AND sev_num >= 2 AND contains(message, 'click')")
 def display_filter(spark, sf_dir):
     since = filters.last(F.lit(NOW).cast("timestamp"), filters.parse_duration("72h"))
-    return filters.display(parsed(spark, sf_dir), filters.all_of(_c("message_contains", "click")), "info", since).select("seq", "severity", "service")
+    return filters.display(parsed(spark, sf_dir, *_GROUPED), filters.all_of(_c("message_contains", "click")), "info", since).select("seq", "severity", "service")
 
 
 # ------------------------------------------------------------------ templates
@@ -419,7 +424,7 @@ def template_mask(spark, sf_dir):
 @query("""SELECT a.event_type AS l, b.event_type AS r, CASE WHEN a.event_type = b.event_type THEN 1.0 ELSE round(5.0 / 6, 6) END AS similarity
  FROM (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT event_type FROM events) b""")
 def template_similarity(spark, sf_dir):
-    names = groups.with_template(parsed(spark, sf_dir)).select("template").distinct().withColumn("tokens", F.split("template", " "))
+    names = groups.with_template(parsed(spark, sf_dir, "message")).select("template").distinct().withColumn("tokens", F.split("template", " "))
     one = names.select(F.col("tokens").alias("a"), F.lit(1).alias("k"))
     two = names.select(F.col("tokens").alias("b"), F.lit(1).alias("k"))
     both = one.join(two, "k")
@@ -433,7 +438,7 @@ def _fnv(text: str) -> str:
 
 @query(EV + f"SELECT DISTINCT template, {_fnv('template')} AS template_hash FROM ev")
 def template_hash(spark, sf_dir):
-    names = groups.with_template(parsed(spark, sf_dir)).select("template").distinct()
+    names = groups.with_template(parsed(spark, sf_dir, "message")).select("template").distinct()
     return names.withColumn("template_hash", templates.template_hash(F.col("template")).cast("string"))
 
 
@@ -447,7 +452,7 @@ def filter_template(spark, sf_dir):
 
 @query(EV + f"SELECT seq, '<*> by user <*> took <*>' AS template, {_fnv(chr(39) + '<*> by user <*> took <*>' + chr(39))} AS template_hash FROM ev")
 def drain_templates(spark, sf_dir):
-    out = templates.drain_templates(parsed(spark, sf_dir))
+    out = templates.drain_templates(parsed(spark, sf_dir, "message"))
     return out.select("seq", "template", F.col("template_hash").cast("string").alias("template_hash"))
 
 
@@ -473,28 +478,28 @@ _GROUPS = """, g AS (SELECT template, count(*) AS count, arg_min(message, seq) A
 _LATE = "2024-01-30 23:59:59"
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, rows=None):
     import datetime
 
     now = datetime.datetime(2024, 1, 30, 23, 59, 59, tzinfo=datetime.timezone.utc)
-    return groups.scored_groups(parsed(spark, sf_dir), DAY, float(DAY), now)
+    return groups.scored_groups(parsed(spark, sf_dir, *_GROUPED) if rows is None else rows, DAY, float(DAY), now)
 
 
 @query(EV + f"SELECT {_fnv('template')} AS template_hash, template, count(*) AS count FROM ev GROUP BY template")
 def group_by_template(spark, sf_dir):
-    return groups.group_stats(parsed(spark, sf_dir)).select(F.col("template_hash").cast("string").alias("template_hash"), "template", "count")
+    return groups.group_stats(parsed(spark, sf_dir, *_GROUPED)).select(F.col("template_hash").cast("string").alias("template_hash"), "template", "count")
 
 
 @query(EV + _GROUPS + "SELECT template, count, exemplar, service, severity, source_count, first_us, last_us FROM g")
 def group_stats(spark, sf_dir):
-    return groups.group_stats(parsed(spark, sf_dir)).select(
+    return groups.group_stats(parsed(spark, sf_dir, *_GROUPED)).select(
         "template", "count", "exemplar", "service", "severity", "source_count", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us")
     )
 
 
 @query(EV + _GROUPS + "SELECT template, count_short, count_prev_short FROM g")
 def group_windows(spark, sf_dir):
-    return groups.group_windows(groups.with_template(parsed(spark, sf_dir)), F.lit(_LATE).cast("timestamp"), DAY)
+    return groups.group_windows(groups.with_template(parsed(spark, sf_dir, "message", "ts_nanos")), F.lit(_LATE).cast("timestamp"), DAY)
 
 
 @query(EV + _GROUPS + "SELECT template, trend FROM tr")
@@ -516,13 +521,13 @@ def top_groups(spark, sf_dir):
 
 @query(EV + "SELECT service, count(DISTINCT source_id) AS sources FROM ev GROUP BY service")
 def source_set(spark, sf_dir):
-    return parsed(spark, sf_dir).groupBy("service").agg(F.count_distinct("source_id").alias("sources"))
+    return parsed(spark, sf_dir, "service").groupBy("service").agg(F.count_distinct("source_id").alias("sources"))
 
 
 @query(EV + """SELECT count(*) AS events_total, count(DISTINCT template) AS groups, count(DISTINCT trace_id) AS traces, CAST(0 AS BIGINT) AS drops,
  round(count(*) / ((max(us) - min(us)) / 1e6), 9) AS events_per_sec FROM ev""")
 def pipeline_stats(spark, sf_dir):
-    return groups.pipeline_stats(parsed(spark, sf_dir)).withColumn("events_per_sec", F.round("events_per_sec", 9))
+    return groups.pipeline_stats(parsed(spark, sf_dir, "message", "trace_id", "ts_nanos")).withColumn("events_per_sec", F.round("events_per_sec", 9))
 
 
 # ------------------------------------------------------------------ statistics
@@ -530,9 +535,9 @@ def pipeline_stats(spark, sf_dir):
 _SERIES = ", ser AS (SELECT s // 3600 * 3600 AS tick, CAST(count(*) AS DOUBLE) AS sample FROM ev GROUP BY 1)"
 
 
-def _series(spark, sf_dir):
-    # Some hundred ticks, read by several detectors: kept, as the engine keeps them.
-    return anomaly.rate_series(parsed(spark, sf_dir), HOUR).persist()
+def _series(spark, sf_dir, rows=None):
+    # Some hundred ticks; detectors that read it in one plan share its shuffle.
+    return anomaly.rate_series(parsed(spark, sf_dir, "ts_nanos") if rows is None else rows, HOUR)
 
 
 @query(EV + _SERIES + " SELECT tick, sample FROM ser")
@@ -713,17 +718,17 @@ _ALERTS = """, fi AS (SELECT * FROM rf UNION ALL SELECT * FROM cf), isl AS (SELE
 """
 
 
-def _firings(spark, sf_dir):
-    series = _series(spark, sf_dir)
-    return anomaly.rate_anomalies(series, _R).unionByName(anomaly.cusum_anomalies(series, _U)).persist()
+def _firings(spark, sf_dir, rows=None):
+    series = _series(spark, sf_dir, rows)
+    return anomaly.rate_anomalies(series, _R).unionByName(anomaly.cusum_anomalies(series, _U))
 
 
-def _alerts(spark, sf_dir):
-    return anomaly.alerts(_firings(spark, sf_dir), idle_s=30 * HOUR)
+def _alerts(spark, sf_dir, rows=None, now=None):
+    return anomaly.alerts(_firings(spark, sf_dir, rows), now, 30 * HOUR)
 
 
-def _causes(spark, sf_dir):
-    fired = _firings(spark, sf_dir)
+def _causes(spark, sf_dir, rows=None):
+    fired = _firings(spark, sf_dir, rows)
     effects = anomaly.alerts(fired, idle_s=30 * HOUR).select(
         F.col("alert_id").alias("effect_id"), F.col("first_fired").alias("e_onset"), F.col("kind").alias("e_detector")
     )
@@ -737,6 +742,22 @@ def alerts(spark, sf_dir):
     )
 
 
+_NOW_S = "epoch_us(TIMESTAMP '2024-01-30 23:59:59') // 1000000"
+
+
+@query(_RATE + _CU + _ALERTS + f"SELECT alert_id, kind, CASE WHEN {_NOW_S} - last_fired > 108000 THEN 'resolved' ELSE 'active' END AS state FROM al")
+def alert_state(spark, sf_dir):
+    now = F.unix_seconds(F.lit(_LATE).cast("timestamp"))
+    return _alerts(spark, sf_dir, now=now).select("alert_id", "kind", "state")
+
+
+@query(EV + _GROUPS + f""", top AS (SELECT *, row_number() OVER (ORDER BY score DESC, exemplar) AS place FROM sc)
+ SELECT 'group_spike' AS kind, {_NOW_S} AS onset, least(1.0, count_short / 100.0) AS magnitude, left(exemplar, 128) AS label FROM top WHERE place <= 5 AND trend = 'rising'""")
+def group_signals(spark, sf_dir):
+    now = F.unix_seconds(F.lit(_LATE).cast("timestamp"))
+    return correlate.group_signals(_scored(spark, sf_dir).withColumn("tick", now)).select("kind", "onset", "magnitude", "label")
+
+
 @query(_RATE + _CU + _ALERTS + "SELECT kind, onset, round(magnitude, 6) AS magnitude, label, detector FROM si")
 def signals(spark, sf_dir):
     return correlate.alert_signals(_firings(spark, sf_dir)).select("kind", "onset", F.round("magnitude", 6).alias("magnitude"), "label", "detector")
@@ -769,7 +790,7 @@ _TRACES = """, p AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY
 
 
 def _traces(spark, sf_dir, **options):
-    return traces.traces(parsed(spark, sf_dir), **options)
+    return traces.traces(parsed(spark, sf_dir, *_TRACED), **options)
 
 
 @query(EV + _TRACES + "SELECT trace_id, event_count, started_us, ended_us FROM t")
@@ -789,14 +810,14 @@ def trace_outcome(spark, sf_dir):
 
 @query(EV + _TRACES + "SELECT trace_id, CAST(place AS INTEGER) AS place, seq, severity, message, service FROM p WHERE place <= 64")
 def trace_events(spark, sf_dir):
-    return traces.trace_events(parsed(spark, sf_dir))
+    return traces.trace_events(parsed(spark, sf_dir, *_TRACED, "message", "service"))
 
 
 @query(EV + """, m AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY trace_id ORDER BY us) <= 21600000000 THEN 0 ELSE 1 END AS new FROM ev),
  i AS (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM m)
  SELECT trace_id, count(*) AS event_count, min(us) AS started_us, max(us) AS ended_us FROM i GROUP BY trace_id, k""")
 def trace_sessions(spark, sf_dir):
-    return traces.trace_sessions(parsed(spark, sf_dir), 6 * HOUR).select("trace_id", "event_count", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"))
+    return traces.trace_sessions(parsed(spark, sf_dir, *_TRACED), 6 * HOUR).select("trace_id", "event_count", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"))
 
 
 # ------------------------------------------------------------------ sinks
@@ -812,9 +833,16 @@ def event_json(spark, sf_dir):
 @query(_RATE + _CU + _ALERTS.rstrip() + _GROUPS.replace(", g AS", ", g AS", 1) + _TRACES + """SELECT (SELECT count(*) FROM ev) AS events_total, (SELECT least(20, count(*)) FROM g) AS n_groups,
  (SELECT least(128, count(*)) FROM al) AS n_alerts, (SELECT least(8, count(DISTINCT effect_id)) FROM co) AS n_hypotheses, (SELECT least(20, count(*)) FROM t WHERE max_sev >= 4) AS n_failed""")
 def triage_summary(spark, sf_dir):
-    rows = parsed(spark, sf_dir).persist()
-    out = render.triage_summary(rows, _scored(spark, sf_dir), _alerts(spark, sf_dir), correlate.hypotheses(_causes(spark, sf_dir)), traces.traces(rows))
+    # One parse, kept while the report of one row is made of it, and given up again.
+    rows = groups.with_template(parsed(spark, sf_dir, *_GROUPED, "trace_id")).persist()
     n = lambda c: F.size(c).cast("bigint")
-    return out.select(
-        F.col("stats.events_total").alias("events_total"), n("top_groups").alias("n_groups"), n("anomalies").alias("n_alerts"), n("hypotheses").alias("n_hypotheses"), n("failed_traces").alias("n_failed")
-    )
+    try:
+        out = render.triage_summary(
+            rows, _scored(spark, sf_dir, rows), _alerts(spark, sf_dir, rows), correlate.hypotheses(_causes(spark, sf_dir, rows)), traces.traces(rows)
+        ).select(
+            F.col("stats.events_total").alias("events_total"), n("top_groups").alias("n_groups"), n("anomalies").alias("n_alerts"),
+            n("hypotheses").alias("n_hypotheses"), n("failed_traces").alias("n_failed"),
+        )
+        return spark.createDataFrame(out.collect(), out.schema)
+    finally:
+        rows.unpersist()

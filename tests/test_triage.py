@@ -271,3 +271,55 @@ def test_command_line(spark, tmp_path):
     out = io.StringIO()
     assert main(["-s", "-n", str(tmp_path / "a.log")], out) == 0 and "query 0 failed" in out.getvalue()
     assert main(["words only"], out) == 2 and main(["--last", "x", str(tmp_path / "a.log")], out) == 2
+
+
+def test_seq_is_gapless_with_a_payload(spark):
+    """Numbers fit the rows whatever columns ride along: 400,000 rows, many ties."""
+    from embermill.sources.text import with_seq
+
+    rows = spark.range(400_000).select((F.col("id") % 977).alias("at"), "id", F.concat(F.lit("line "), F.col("id")).alias("raw")).repartition(13)
+    got = with_seq(rows, "at", "id")
+    n, distinct, low, high = got.agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()
+    assert (n, distinct, low, high) == (400_000, 400_000, 1, 400_000)
+    want = got.selectExpr("seq", "row_number() OVER (ORDER BY at, id) AS place")
+    assert want.where("seq <> place").count() == 0
+
+
+def test_damaged_json_keeps_what_stands_in_front(spark):
+    from embermill.operators.parsers import parse_events
+
+    lines = [
+        '{"level":"warn","msg":"disk \\"a\\" full","n":7,"box":{"x":[1,{"y":2}]},"service":"io"',
+        '{"level":"error","msg":"cut of',
+        '{"msg":"x","level":oops}',
+        "{not json at all}",
+        '{"ok":true,"f":1.5,"none":null,"level":"info",}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(lines)), "seq bigint, raw string")
+    got = parse_events(rows, F.lit("json")).orderBy("seq").collect()
+    assert [(g["severity"], g["message"], g["service"]) for g in got] == [
+        ("warn", 'disk "a" full', "io"), ("error", lines[1], None), ("unknown", "x", None), ("unknown", lines[3], None), ("info", lines[4], None),
+    ]
+    assert [(f["key"], f["value"]["kind"]) for f in got[0]["fields"]] == [("n", "int"), ("box", "string")]
+    assert [(f["key"], f["value"]["kind"]) for f in got[4]["fields"]] == [("ok", "bool"), ("f", "float"), ("none", "null")]
+    assert got[0]["fields"][0]["value"]["i"] == 7 and got[0]["fields"][1]["value"]["s"] == '{"x":[1,{"y":2}]}'
+
+
+def test_parse_is_computed_once(spark):
+    """Filters and aggregates above a parse do not evaluate it again."""
+    from embermill.operators.parsers import parse_events
+
+    rows = spark.createDataFrame([(1, "level=error msg=x")], "seq bigint, raw string")
+    out = parse_events(rows, F.lit("logfmt")).where("severity = 'error' AND message = 'x'").groupBy("severity").agg(F.max("message"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+
+
+def test_sources_beyond_the_broadcast_are_joined(spark):
+    from embermill.sources.text import name_sources
+
+    registry = spark.range(50).select(F.col("id").alias("source_id"), F.concat(F.lit("s"), "id").alias("name"))
+    rows = spark.range(60).select(F.col("id").alias("source_id"))
+    for bound in (4096, 10):
+        got = {r["source_id"]: r["source_name"] for r in name_sources(rows, registry, bound).collect()}
+        assert got == {i: f"s{i}" if i < 50 else "<unknown>" for i in range(60)}
