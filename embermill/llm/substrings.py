@@ -1,21 +1,26 @@
-"""Repeated passages by a de Bruijn graph of word k-mers.
-
-An edge is a run of ``window`` words, from the node of its first ``window - 1``
-words to that of its last.  Finding the repeated edges takes three steps, each a
-table in the shared folder or one shuffle:
-
-1.  Minimizers (the smallest ``seed_words``-gram of each window) that stand in
-    more than one document.  Every window has one, so a repeated window has a
-    repeated minimizer.  They go into a filter of bounded size.
-2.  Windows whose minimizer passes the filter are the candidate edges, with
-    source coordinates (document, start).  A grouped minimum finds the edges of
-    more than one document and their first document.
-3.  A join gives each occurrence its edge's first document; occurrences that
-    follow each other in a document compact into paths, whose coordinates are
-    what is removed.
-
-An edge's key has 96 bits of two independent hashes.  Hot edges are combined
-before the shuffle, and the join back is one that adaptive execution can split.
+"""Repeated passages by a compacted de Bruijn graph of word runs.
+
+Edges are the runs of ``window`` words.  A node is a window's minimizer, the
+smallest of its ``seed_words``-word runs, and all consecutive windows that share
+one occurrence of it are the path through that node there.  Equal windows have
+the same minimizer, so a window can only repeat where its node does.
+
+1.  Nodes are grouped: one that stands in a single document goes; one whose
+    paths are all the same does not branch; one with different paths does.  Both
+    sorts go into filters of bounded size.
+2.  The path through a node that does not branch compacts to one edge with its
+    number of windows; around a branching node every window is an edge of its
+    own.  Edges have source coordinates (document, start, windows).
+3.  A grouped minimum finds the edges of more than one document and their first
+    document, a join gives each occurrence that document, and occurrences that
+    follow each other in a document compact into spans, which are removed.
+
+Compaction is exact: all occurrences of a window around an unbranched node lie
+in equal paths, so the path's first document is the window's.  Filters answer by
+the node's hash, alike for all its occurrences; a false answer makes more edges
+or single ones and never loses one.  An edge's key has 95 bits of two hashes.
+Hot edges are combined before the shuffle, and the join back is one that adaptive
+execution can split.
 
 Words part at ASCII white space and are compared unchanged.  A null text has no
 words; a document with a null doc_id has nothing removed and makes nothing else
@@ -25,7 +30,6 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +47,6 @@ class Passages:
     window: int = 13
     seed_words: int = 7
     most_bits: int = 28
-    turns: int = 3
 
 
 def minimizers(h: np.ndarray, counts: np.ndarray, cfg: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +69,29 @@ def minimizers(h: np.ndarray, counts: np.ndarray, cfg: Passages) -> tuple[np.nda
     return start, start + place, text
 
 
+def paths_of(
+    h: np.ndarray, counts: np.ndarray, cfg: Passages
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The paths through all minimizers: (node's hash, first window's start, windows, text, key, second key).
+
+    Two paths with the same keys have the same words: their first and last windows cover them all.
+    """
+    from .shingles import mix, rolling
+
+    start, place, text = minimizers(h, counts, cfg)
+    if not len(start):
+        none = np.empty(0, np.uint64)
+        return none, start, start, text, none, none
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
+    size = np.diff(np.append(new, len(start)))
+    first, last = start[new], start[new] + size - 1
+    keys = []
+    for which in (0, 1):
+        w = rolling(h, cfg.window, which)
+        keys.append(mix(w[first] + mix(w[last] + size.astype(np.uint64), 3), 4))
+    return rolling(h, cfg.seed_words)[place[new]], first, size, text[new], *keys
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -79,84 +105,94 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
     ship(spark)
     keyed = _keyed(docs).where("doc_id IS NOT NULL")
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from embermill.llm.encoding import _give_back, forget_encoders
-        from embermill.llm.shingles import rolling, runs_of, word_hashes
-        from embermill.llm.substrings import minimizers
+        from embermill.llm.shingles import runs_of, word_hashes
+        from embermill.llm.substrings import paths_of
 
         forget_encoders()
         for batch in batches:
             texts, names = batch.column("text"), batch.column("doc_id").to_numpy()
             for lo, hi in runs_of(texts):
-                h, counts = word_hashes(texts.slice(lo, hi - lo), False)
-                _, place, text = minimizers(h, counts, cfg)
-                if len(place):
-                    new = np.concatenate([[True], (place[1:] != place[:-1])])
-                    place, text = place[new], text[new]
+                node, _, _, text, key, _ = paths_of(*word_hashes(texts.slice(lo, hi - lo), False), cfg)
+                if len(node):
                     yield pa.RecordBatch.from_pydict(
-                        {"h": rolling(h, cfg.seed_words)[place].view(np.int64), "doc_id": names[lo:hi][text]}
+                        {"h": node.view(np.int64), "doc_id": names[lo:hi][text], "path": key.view(np.int64)}
                     )
             _give_back()
 
-    twice = F.min("doc_id") != F.max("doc_id")
-    found = keyed.select("doc_id", "text").mapInArrow(seeds, "h long, doc_id long")
-    shared, seed_path = written_at(found.groupBy("h").agg(twice.alias("twice")).where("twice").select("h"), "seeds")
-    bits = bloom_bits(shared.count(), cfg.most_bits)
-    known = spark.sparkContext.broadcast(bloom_of(shared, bits))
-    drop_path(spark, seed_path)
+    found = keyed.select("doc_id", "text").mapInArrow(nodes, "h long, doc_id long, path long")
+    shared = found.groupBy("h").agg(
+        (F.min("doc_id") != F.max("doc_id")).alias("twice"), (F.min("path") != F.max("path")).alias("branches")
+    )
+    shared, node_path = written_at(shared.where("twice").select("h", "branches"), "nodes")
+    n, branching = shared.agg(F.count("*"), F.count(F.when(F.col("branches"), 1))).first()
+    bits = bloom_bits(n, cfg.most_bits), bloom_bits(branching, cfg.most_bits)
+    known = spark.sparkContext.broadcast(
+        (bloom_of(shared.select("h"), bits[0]), bloom_of(shared.where("branches").select("h"), bits[1]))
+    )
+    drop_path(spark, node_path)
     del found, shared
     settle(spark)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from embermill.llm.encoding import _give_back, forget_encoders
         from embermill.llm.shingles import in_bloom, rolling, runs_of, word_hashes
-        from embermill.llm.substrings import minimizers
+        from embermill.llm.substrings import paths_of
 
         forget_encoders()
+        repeated, branching = known.value
         for batch in batches:
             texts, names = batch.column("text"), batch.column("doc_id").to_numpy()
             variants = batch.column("variant").to_numpy().astype(np.int64)
             for lo, hi in runs_of(texts):
                 h, counts = word_hashes(texts.slice(lo, hi - lo), False)
-                start, place, text = minimizers(h, counts, cfg)
-                if not len(start):
+                node, first, size, text, key, other = paths_of(h, counts, cfg)
+                if not len(node):
                     continue
-                hit = in_bloom(known.value, bits, rolling(h, cfg.seed_words))[place]
-                start, text = start[hit], text[hit]
-                first = (np.cumsum(counts) - counts)[text]
+                hit = in_bloom(repeated, bits[0], node)
+                node, first, size, text, key, other = (c[hit] for c in (node, first, size, text, key, other))
+                apart = in_bloom(branching, bits[1], node)
+                one = ~apart
+                # every window of a branching node's paths is an edge
+                many, n_each = first[apart], size[apart]
+                to = np.cumsum(n_each)
+                single = np.repeat(many - (to - n_each), n_each) + np.arange(int(to[-1]) if len(to) else 0)
+                start = np.concatenate([first[one], single])
+                owner = np.concatenate([text[one], np.repeat(text[apart], n_each)])
+                h1 = np.concatenate([key[one], rolling(h, cfg.window)[single]])
+                h2 = np.concatenate([other[one], rolling(h, cfg.window, 1)[single]])
+                begin = (np.cumsum(counts) - counts)[owner]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "h": rolling(h, cfg.window)[start].view(np.int64),
-                        "g": (rolling(h, cfg.window, 1)[start] >> np.uint64(33)).astype(np.int32),
-                        "doc_id": names[lo:hi][text],
-                        "at": (variants[lo:hi][text] << 32) | (start - first),
+                        "h": h1.view(np.int64),
+                        "g": (h2 >> np.uint64(33)).astype(np.int32),
+                        "doc_id": names[lo:hi][owner],
+                        "at": (variants[lo:hi][owner] << 32) | (start - begin),
+                        "n": np.concatenate([size[one], np.ones(len(single), np.int64)]).astype(np.int8),
                     }
                 )
             _give_back()
 
-    places, path = written_at(keyed.mapInArrow(edges, "h long, g int, doc_id long, at long"), "edges")
-    # Edges are settled in turns, by ranges of their hash: only one turn's shuffles stand on disk.
-    turns = []
-    for turn in range(cfg.turns):
-        own = places.where(F.pmod("h", F.lit(cfg.turns)) == turn)
-        first = own.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        first, first_path = written_at(first.where("first <> last").select("h", "g", "first"), "repeated")
-        settle(spark)
-        later = own.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "at")
-        turns.append(written_at(later, "later"))
-        drop_path(spark, first_path)
-        settle(spark)
+    places, path = written_at(keyed.mapInArrow(edges, "h long, g int, doc_id long, at long, n byte"), "edges")
+    first = places.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first, first_path = written_at(first.where("first <> last").select("h", "g", "first"), "repeated")
+    settle(spark)
+    later, later_path = written_at(places.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "at", "n"), "later")
+    drop_path(spark, first_path)
     drop_path(spark, path)
-    later = functools.reduce(DataFrame.unionByName, [t for t, _ in turns])
+    settle(spark)
 
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by document and place: consecutive places compact into (start, length)."""
-        kept: tuple[np.ndarray, np.ndarray] | None = None
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by document and place: edges that follow each other compact into (start, windows)."""
+        held: list[tuple[np.ndarray, ...]] = []  # of the last document, which may go on
 
-        def out(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])
-            begin = np.flatnonzero(new)
-            length = np.diff(np.append(begin, len(at)))
+        def out(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            # rows that repeat a document give its places twice
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
+            doc, at, n = doc[new], at[new], n[new].astype(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != (at + n)[:-1])]))
+            length = np.add.reduceat(n, begin)
             doc, at = doc[begin], at[begin]
             own = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] >> 32 != at[:-1] >> 32)]))
             ends = np.append(own, len(doc)).astype(np.int32)
@@ -170,28 +206,25 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
             )
 
         for batch in batches:
-            doc, at = batch.column("doc_id").to_numpy(), batch.column("at").to_numpy()
-            if kept is not None:
-                doc, at = np.concatenate([kept[0], doc]), np.concatenate([kept[1], at])
-            if not len(doc):
+            now = tuple(batch.column(c).to_numpy() for c in ("doc_id", "at", "n"))
+            if not len(now[0]):
                 continue
-            # rows that repeat a document give its places twice
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
-            doc, at = doc[new], at[new]
-            # the last document may go on in the next batch
-            cut = int(np.searchsorted(doc, doc[-1]))
-            kept = doc[cut:], at[cut:]
-            if cut:
-                yield out(doc[:cut], at[:cut])
-        if kept is not None and len(kept[0]):
-            yield out(*kept)
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if held and (cut or now[0][0] != held[0][0][0]):
+                held.append(tuple(c[:cut] for c in now))
+                yield out(*map(np.concatenate, zip(*held)))
+                held = []
+            elif cut:
+                yield out(*(c[:cut] for c in now))
+            held.append(tuple(c[cut:] for c in now))
+        if held:
+            yield out(*map(np.concatenate, zip(*held)))
 
     ordered = later.repartition("doc_id").sortWithinPartitions("doc_id", "at")
     runs, _ = written_at(
-        ordered.mapInArrow(paths, "doc_id long, variant int, starts array<int>, lengths array<int>"), "paths"
+        ordered.mapInArrow(spans, "doc_id long, variant int, starts array<int>, lengths array<int>"), "spans"
     )
-    for _, later_path in turns:
-        drop_path(spark, later_path)
+    drop_path(spark, later_path)
     settle(spark)
     return runs
 

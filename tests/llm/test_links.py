@@ -309,3 +309,48 @@ def test_labels_join():
     label = np.arange(8)
     near_vectors.join_labels(label, np.array([1, 3, 6]), np.array([2, 2, 7]))
     assert label.tolist() == [0, 1, 1, 1, 4, 5, 6, 6]
+
+
+# ------------------------------------------------------------------ passages: compaction
+
+
+def test_paths_cover_every_window_once():
+    from embermill.llm.shingles import rolling
+
+    r = np.random.default_rng(2)
+    h = r.integers(0, 40, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.array([0, 12, 13, 900, 5, 2070])
+    cfg = substrings.Passages()
+    node, first, size, text, key, _ = substrings.paths_of(h, counts, cfg)
+    windows = [s + k for s, n in zip(first.tolist(), size.tolist()) for k in range(n)]
+    begins = np.cumsum(counts) - counts
+    assert windows == [int(b) + k for b, c in zip(begins, counts) for k in range(max(0, c - 12))]
+    assert size.max() <= cfg.window - cfg.seed_words + 1
+    # equal keys are equal words, and equal windows have equal nodes
+    words = {}
+    for s, n, k in zip(first.tolist(), size.tolist(), key.tolist()):
+        assert words.setdefault(k, h[s : s + n + 12].tolist()) == h[s : s + n + 12].tolist()
+    by_window = {}
+    w13 = rolling(h, 13)
+    for s, n, k in zip(first.tolist(), size.tolist(), node.tolist()):
+        for j in range(n):
+            assert by_window.setdefault(int(w13[s + j]), k) == k
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_passages_with_edits_nesting_and_branches(spark, seed):
+    """Passages that share parts, stand in each other and differ by a word, over a small vocabulary, by brute force."""
+    r = random.Random(seed)
+    vocabulary = [prose(r, 1) for _ in range(30)]
+    base = [r.choice(vocabulary) for _ in range(300)]
+    rows = []
+    for i in range(120):
+        a, n = r.randrange(250), r.randint(10, 120)
+        w = base[a : a + n]
+        if r.random() < 0.5 and w:
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        text = " ".join([r.choice(vocabulary) for _ in range(r.randint(0, 20))] + w + base[r.randrange(250) :][: r.randint(0, 40)])
+        rows.append((i // 2 * 2 if r.random() < 0.1 else i, text, "", "", 0))
+    df = spark.createDataFrame(rows, DOC).repartition(6)
+    got = rows_of(substrings.passages_digest(df, substrings.Passages(most_bits=16)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == passages([(x[0], x[1]) for x in rows])
