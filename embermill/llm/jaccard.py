@@ -13,11 +13,13 @@ filter, and a document stays a candidate only if it passes all of them:
     documents that share one of their first e + 1 shingles are candidates.
 
 Equal sets are one class throughout.  Candidates form groups by components of
-their shared prefix shingles; a group is cut to blocks of ``block`` classes in
-order of size, pairs of blocks whose sizes can match are verified whole by
-counting common shingles as a matrix product, and links come back as spanning
-stars.  So no pair is lost, none is listed within a group, and a group of any
-size is many bounded tasks.
+their shared prefix shingles; a group is cut to blocks of ``block`` classes of
+similar size.  Within a pair of blocks the filters meet for each pair of sets: a
+pair stays only if it shares one of its first e + 1 shingles under order 1 and
+one under order 2, and only sets with such a partner are verified, by counting
+common shingles as a matrix product.  Links come back as spanning stars.  So no
+pair is lost, none is listed within a group, and a group of any size is many
+bounded tasks.
 
 Words part at ASCII white space, with A-Z lowered; a text of fewer than ``n``
 words is one shingle; a null or empty one has an empty set and links with
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import drop_path, settle, ship, written_at
-from .shingles import bloom_bits, bloom_of
+from .shingles import bloom_bits, bloom_of, mix
 
 
 @dataclass(frozen=True)
@@ -152,8 +154,58 @@ def _filtered(docs: DataFrame, seed: int, cfg: Join) -> DataFrame:
     return docs.mapInArrow(test, docs.schema)
 
 
-def _links(x: pa.Table, y: pa.Table | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of linked pairs between two blocks of sets, or within one."""
+def _common(gx: np.ndarray, rx: np.ndarray, nx: int, gy: np.ndarray, ry: np.ndarray, ny: int) -> np.ndarray:
+    """How many values each set of one side has in common with each of the other, as a product of 0-1 matrices.
+
+    ``gx`` are the values of all sets of a side and ``rx`` the set of each, of ``nx`` sets.
+    """
+    both = np.zeros((nx, ny), np.float32)
+    names = np.intersect1d(gx, gy)  # a value of one side alone is common to none
+    if not len(names):
+        return both
+    sides = []
+    for g, r in ((gx, rx), (gy, ry)):
+        at = np.minimum(np.searchsorted(names, g), len(names) - 1)
+        real = names[at] == g
+        sides.append((at[real], r[real]))
+    (ax, rx), (ay, ry) = sides
+    width = 8192
+    for lo in range(0, len(names), width):
+        a, b = np.zeros((nx, width), np.float32), np.zeros((ny, width), np.float32)
+        for matrix, at, r in ((a, ax, rx), (b, ay, ry)):
+            part = (at >= lo) & (at < lo + width)
+            matrix[r[part], at[part] - lo] = 1
+        both += a @ b.T
+    return both
+
+
+def candidates(grams: list[np.ndarray], sizes: list[np.ndarray], cfg: Join) -> np.ndarray:
+    """Pairs (of the first side's sets and the second's) that share an early shingle under every order, as a matrix.
+
+    A linked pair has a shingle in common among the first spare + 1 of each, whatever the order.
+    """
+    pair = np.ones((len(sizes[0]), len(sizes[1])), bool)
+    for seed in cfg.orders:
+        parts = []
+        for g, size in zip(grams, sizes):
+            rows = np.repeat(np.arange(len(size)), size)
+            m = mix(g.view(np.uint64), seed)
+            order = np.lexsort((m, rows))
+            early_ = ranks(size) < np.repeat(spare(size, cfg.percent) + 1, size)
+            parts.append((m[order][early_], rows[early_]))
+        (mx, rx), (my, ry) = parts
+        pair &= _common(mx, rx, len(sizes[0]), my, ry, len(sizes[1])) > 0
+        if not pair.any():
+            break
+    return pair
+
+
+def _links(x: pa.Table, y: pa.Table | None, cfg: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of linked pairs between two blocks of sets, or within one.
+
+    The candidates of all orders are intersected for each pair; sets without one are
+    left out, the others' common shingles are counted.
+    """
 
     def parts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sets = t.column("grams").combine_chunks()
@@ -161,30 +213,24 @@ def _links(x: pa.Table, y: pa.Table | None, percent: int) -> tuple[np.ndarray, n
 
     gx, sx = parts(x)
     gy, sy = (gx, sx) if y is None else parts(y)
-    names, at = np.unique(np.concatenate([gx, gy]) if y is not None else gx, return_inverse=True)
-    ax, ay = at[: len(gx)], at[len(gx) :] if y is not None else at
-    rx, ry = np.repeat(np.arange(len(sx)), sx), np.repeat(np.arange(len(sy)), sy)
-    both = np.zeros((len(sx), len(sy)), np.float32)
-    common = np.bincount(ax, minlength=len(names)) + (np.bincount(ay, minlength=len(names)) if y is not None else 0) > 1
-    column = np.cumsum(common) - 1
-    ux, uy = common[ax], common[ay]
-    ax, rx, ay, ry = column[ax[ux]], rx[ux], column[ay[uy]], ry[uy]
-    width = 8192
-    for lo in range(0, int(common.sum()), width):
-        a = np.zeros((len(sx), width), np.float32)
-        part = (ax >= lo) & (ax < lo + width)
-        a[rx[part], ax[part] - lo] = 1
-        if y is None:
-            b = a
-        else:
-            b = np.zeros((len(sy), width), np.float32)
-            part = (ay >= lo) & (ay < lo + width)
-            b[ry[part], ay[part] - lo] = 1
-        both += a @ b.T
-    same = both.astype(np.int64)
-    union = sx[:, None] + sy[None, :] - same
-    i, j = np.nonzero((100 * same >= percent * union) & (same > 0))
-    return i, j
+    pair = candidates([gx, gy], [sx, sy], cfg)
+    # sizes alone rule out more
+    pair &= (100 * np.minimum(sx[:, None], sy) >= cfg.percent * np.maximum(sx[:, None], sy))
+    if y is None:
+        np.fill_diagonal(pair, False)
+    i, j = np.flatnonzero(pair.any(1)), np.flatnonzero(pair.any(0))
+    if not len(i):
+        return i, j
+    sides = []
+    for g, size, keep in ((gx, sx, i), (gy, sy, j)):
+        to = np.full(len(size), -1)
+        to[keep] = np.arange(len(keep))
+        row = np.repeat(to, size)
+        sides.append((g[row >= 0], row[row >= 0], len(keep)))
+    same = _common(*sides[0], *sides[1]).astype(np.int64)
+    union = sx[i][:, None] + sy[j][None, :] - same
+    r, c = np.nonzero((100 * same >= cfg.percent * union) & pair[np.ix_(i, j)])
+    return i[r], j[c]
 
 
 def jaccard_components(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
@@ -346,7 +392,7 @@ def _verified(clustered: DataFrame, cfg: Join) -> DataFrame:
         y = t.filter(pa.array(side == 1)) if (side == 1).any() else None
         names = x.column("key").to_numpy()
         others = names if y is None else y.column("key").to_numpy()
-        i, j = _links(x, y, cfg.percent) if len(x) else (np.empty(0, int),) * 2
+        i, j = _links(x, y, cfg) if len(x) else (np.empty(0, int),) * 2
         a, b = names[i], others[j]
         a, b = a[a != b], b[a != b]
         u, v = forest(a, b) if len(a) else (np.empty(0, np.int64),) * 2

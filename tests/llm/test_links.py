@@ -354,3 +354,22 @@ def test_passages_with_edits_nesting_and_branches(spark, seed):
     df = spark.createDataFrame(rows, DOC).repartition(6)
     got = rows_of(substrings.passages_digest(df, substrings.Passages(most_bits=16)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == passages([(x[0], x[1]) for x in rows])
+
+
+# ------------------------------------------------------------------ Jaccard join: filters of a pair
+
+
+def test_filters_are_intersected_for_each_pair():
+    """Every linked pair passes all orders; a pair that shares early shingles under one order alone does not."""
+    r = np.random.default_rng(4)
+    cfg = jaccard.Join()
+    base = [r.choice(5000, 80, replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(30)]
+    sets = [np.sort(np.concatenate([b[r.permutation(80)[: r.integers(70, 81)]], b[:0]])) for b in base for _ in range(3)]
+    sizes, grams = np.array([len(x) for x in sets]), np.concatenate(sets).view(np.int64)
+    pair = jaccard.candidates([grams, grams], [sizes, sizes], cfg)
+    each = [jaccard.candidates([grams, grams], [sizes, sizes], jaccard.Join(orders=(o,))) for o in cfg.orders]
+    assert (pair == (each[0] & each[1])).all() and pair.sum() < min(e.sum() for e in each)
+    for i, a in enumerate(map(set, sets)):
+        for j, b in enumerate(map(set, sets)):
+            if 100 * len(a & b) >= cfg.percent * len(a | b):
+                assert pair[i, j]
