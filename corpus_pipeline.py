@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir) that calls one operator on all
 rows that its predecessor kept; all but the last give the columns of documents.
+
+In every stage: nulls in any column are allowed; a null or empty text is a
+document without words; rows that repeat are documents each (but for the join,
+where they are copies of one another); an empty table gives an empty table; an
+input's further columns are dropped, whatever their names.  Ties are settled by
+hashes of doc_id and text, never by the order rows come in, so reruns agree.
 """
 
 from __future__ import annotations
@@ -15,24 +21,38 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.keep_clean(docs, shared.load(spark, sf_dir, "labels")).select(COLUMNS)
+    """Documents whose score reaches the threshold go; those without text, without an id or without a label stay if they score below it.
+
+    Without labels to learn from, nothing is rejected.
+    """
+    return toxicity.keep_clean(docs.select(COLUMNS), shared.load(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
-    return jaccard.keep_first(docs, jaccard.Join(n=5, percent=80)).select(COLUMNS)
+    """One document of each group stays: five-word shingles, a similarity of 0.8 or more.
+
+    It is that of the smallest doc_id, a null one last. Documents without words are in no group and stay, once
+    for each doc_id and text.
+    """
+    return jaccard.keep_first(docs.select(COLUMNS), jaccard.Join(n=5, percent=80)).select(COLUMNS)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(personal.redact(docs))
+    """Spans of personal data are replaced by their kind, n_chars follows; a null text stays null, no row goes."""
+    return _counted(personal.redact(docs.select(COLUMNS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(mixing.mix_documents(docs))
+    """A row for each copy that the mix takes, in the order of its shards; a cut copy ends at its last word.
+
+    Sources are as they come, null one of them; documents without words are taken as often as their block is.
+    """
+    return _counted(mixing.mix_documents(docs.select(COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packing_digest(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
+    """Pieces of sequences of 2,048 tokens; a document without text is its end id, copies are packed each on their own."""
+    return packing.packing_digest(docs.select(COLUMNS), vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
