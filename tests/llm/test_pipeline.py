@@ -63,3 +63,18 @@ def test_run_is_the_stages(spark, tmp_path):
     a = corpus_pipeline.run(spark, folder).agg(F.count("*"), F.bit_xor("ids_crc32")).first()
     b = corpus_pipeline.run(spark, folder).agg(F.count("*"), F.bit_xor("ids_crc32")).first()
     assert tuple(a) == tuple(b) and a[0] > 0
+
+
+def test_stages_on_nothing_and_with_clashing_columns(spark, tmp_path, empty, clashing):
+    """Each stage alone: an empty table, then nulls, repeats and columns of the operators' own names; no labels at all."""
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+        out = stage(spark, clashing, folder)
+        rows = out.collect()
+        assert len({repr(r["doc_id"]) for r in rows}) > 1
+        if name != "packing":
+            assert out.columns == corpus_pipeline.COLUMNS
+        if name in ("toxicity", "pii"):
+            assert len(rows) == clashing.count()
