@@ -272,12 +272,13 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
     return out
 
 
-_MODEL: dict[str, tuple] = {}
+_FEATURES: list[tuple] = []
+_MODEL: dict[float, tuple] = {}
 
 
 def fitted(spark: SparkSession, precision: float = 0.95) -> tuple:
-    """(trees, thresholds): fitted once in a driver process, on features from the same expressions."""
-    if "model" not in _MODEL:
+    """(trees, thresholds): fitted once for each precision in a driver process, on features from the same expressions."""
+    if not _FEATURES:
         rows = (
             spark.createDataFrame(examples(), "text string, label int")
             .coalesce(4)
@@ -288,11 +289,13 @@ def fitted(spark: SparkSession, precision: float = 0.95) -> tuple:
         x = np.array([r["f"] for r in rows])
         y = np.array([r["label"] for r in rows], float)
         order = np.lexsort([*x.T, y])
-        x, y = x[order], y[order]
+        _FEATURES.append((x[order], y[order]))
+    if precision not in _MODEL:
+        x, y = _FEATURES[0]
         held = np.arange(len(x)) % 3 == 0
         model = boost(x[~held], y[~held])
-        _MODEL["model"] = model, calibrate(margins(model, x[held]), y[held], x[held][:, 0].astype(int), precision)
-    return _MODEL["model"]
+        _MODEL[precision] = model, calibrate(margins(model, x[held]), y[held], x[held][:, 0].astype(int), precision)
+    return _MODEL[precision]
 
 
 def find_spans(docs: DataFrame, precision: float = 0.95) -> DataFrame:
