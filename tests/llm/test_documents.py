@@ -304,3 +304,24 @@ def test_license_named_without_any_common_word(spark):
 
 def test_corpus_fixture_is_odd_enough():
     assert any(r[0] is None for r in corpus()) and any(r[1] is None for r in corpus())
+
+
+def test_positions_are_summed_over_blocks(spark):
+    """Matches beyond a block's size, at its edges and among wide characters stand where a scalar search finds them."""
+    from embermill.llm.native import positions
+
+    texts = ["", "1", "a1b22é😀333", "x", "7 " * 4, "12é " * 300, "5" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for block in (1, 4, 256):
+        for pattern in (r"[0-9]+", "é", "none"):
+            got = rows.select("text", positions(F.col("text"), pattern, block).alias("p")).collect()
+            for r in got:
+                assert [tuple(s) for s in r["p"]] == [(*m.span(), m.group()) for m in re.finditer(pattern, r["text"])]
+
+
+def test_thresholds_follow_the_precision(spark):
+    from embermill.llm.personal import fitted
+
+    (_, low), (_, high) = fitted(spark, 0.5), fitted(spark, 0.99)
+    assert low != high and all(low[k] <= high[k] for k in low)
+    assert fitted(spark, 0.5)[1] is low
