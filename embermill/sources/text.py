@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
@@ -24,6 +25,31 @@ def stream_lines(spark: SparkSession, path: str, latest_first: bool = False) ->
     return rows.select(F.col("_metadata.file_path").alias("source_name"), _chomp(F.col("value")).alias("raw"))
 
 
+def read_pipe(spark: SparkSession, pipe: Iterable[bytes], name: str = "stdin", batch_bytes: int = 32 << 20) -> DataFrame:
+    """(source_name, line, raw) of a byte stream that can be read once, on the driver alone.
+
+    Lines go to the shared work folder in batches of ``batch_bytes``, so the driver
+    holds one batch however much comes. Lines have any length, and a last one
+    without an end counts.
+    """
+    path, schema = f"{work_dir(spark)}/embermill/pipe-{uuid.uuid4().hex}", "line bigint, raw string"
+    n = size = 0
+    held: list[tuple[int, str]] = []
+
+    def put() -> None:
+        spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+
+    for line in pipe:
+        held.append((n, line.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")))
+        n, size = n + 1, size + len(line)
+        if size >= batch_bytes:
+            put()
+            held, size = [], 0
+    if held or not n:
+        put()
+    return spark.read.schema(schema).parquet(path).withColumn("source_name", F.lit(name))
+
+
 def _chomp(line: Column) -> Column:
     return F.regexp_replace(line, "\r$", "")
 
