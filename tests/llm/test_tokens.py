@@ -151,3 +151,21 @@ def test_packing_of_any_lengths(lengths):
             assert start == at and k > 0
             at += k
         assert at == n
+
+
+def test_pieces_are_cut_from_one_text_and_the_collector_rests():
+    import gc
+
+    import pyarrow as pa
+
+    from embermill.llm import encoding, queries
+
+    names = ["", "a", "\n", "é\n", "x,", "\u3000", "\t"]
+    for kind in (names, names[1:], [""], []):
+        assert encoding._strings(pa.array(kind, pa.string())) == kind
+    enc = encoding.PieceEncoder(queries.vocabulary("byte_bpe_50k.json"))
+    on, run = [], enc._run
+    enc._run = lambda texts: on.append(gc.isenabled()) or run(texts)
+    texts = ["", " ", "one  two", "a b,\nc é", "x <|endoftext|> y", "\n\n"]
+    assert enc.encode(texts) == enc._whole(texts)
+    assert on == [False] and gc.isenabled()
