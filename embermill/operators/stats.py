@@ -164,6 +164,14 @@ def minhash_similarity(a: Column, b: Column, slots: int = 64) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda s: s)) / F.lit(float(slots))
 
 
+def minhash_signed(rows: DataFrame, key: str, tokens: str, slots: int = 64) -> DataFrame:
+    """(k, sig) of each row with tokens: ``minhash_signature`` as grouped minima, which are compiled; rows may repeat a key."""
+    each = rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(tokens).alias("t"))
+    words = each.select("row", "k", F.explode("t").alias("t"))
+    least = words.groupBy("row").agg(F.first("k").alias("k"), *[F.min(F.xxhash64(F.lit(i), "t")).alias(f"s{i}") for i in range(slots)])
+    return least.select("k", F.array(*[f"s{i}" for i in range(slots)]).alias("sig"))
+
+
 def minhash_pairs(rows: DataFrame, key: str, tokens: str, threshold: float = 0.9, slots: int = 64, bands: int = 16) -> DataFrame:
     """(left, right, similarity, copy): links of equal signatures, and of those that share a band and reach the threshold.
 
@@ -171,15 +179,25 @@ def minhash_pairs(rows: DataFrame, key: str, tokens: str, threshold: float = 0.9
     class as left and the member as right, so a class gives as many rows as it
     has further members; the other rows link two classes, and all members of
     both with them.
+
+    Signatures of the threshold differ in so many slots at most; one more band
+    than that, where ``bands`` allows, leaves one equal, so wider bands lose no
+    pair. Bands meet by key alone; signatures join their candidates once.
     """
-    signed = rows.select(F.col(key).alias("k"), minhash_signature(F.col(tokens), slots).alias("sig")).where(F.size("sig") > 0).persist()
+    signed = minhash_signed(rows, key, tokens, slots).persist()
     classes = signed.groupBy("sig").agg(F.min("k").alias("k"))
     named = signed.join(classes.withColumnRenamed("k", "left"), "sig").where("NOT k <=> left")
     copies = named.select("left", F.col("k").alias("right"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
-    per = slots // bands
-    parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * per + 1, per)))
-    banded = classes.select("k", "sig", F.explode(parts).alias("band"))
-    left = banded.select(F.col("k").alias("left"), F.col("sig").alias("lsig"), "band")
-    right = banded.select(F.col("k").alias("right"), F.col("sig").alias("rsig"), "band")
-    pairs = left.join(right, "band").where("left < right").select("left", "right", minhash_similarity(F.col("lsig"), F.col("rsig"), slots).alias("similarity"))
+    apart = slots - math.ceil(threshold * slots - 1e-9)
+    n = min(bands, max(1, apart + 1))
+    cuts = [i * slots // n for i in range(n + 1)]
+    parts = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    banded = classes.select("k", F.explode(parts).alias("band"))
+    left, right = banded.select(F.col("k").alias("left"), "band"), banded.select(F.col("k").alias("right"), "band")
+    met = left.join(right, "band").where("left < right").select("left", "right").distinct()
+    pairs = (
+        met.join(classes.select(F.col("k").alias("left"), F.col("sig").alias("lsig")), "left")
+        .join(classes.select(F.col("k").alias("right"), F.col("sig").alias("rsig")), "right")
+        .select("left", "right", minhash_similarity(F.col("lsig"), F.col("rsig"), slots).alias("similarity"))
+    )
     return copies.distinct().unionByName(pairs.where(F.col("similarity") >= threshold).distinct().withColumn("copy", F.lit(False)))

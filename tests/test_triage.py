@@ -226,6 +226,22 @@ def test_signatures_take_every_word(spark, tmp_path):
     assert len(out) == 6 and all(r["whole"] and r["same"] for r in out)
 
 
+def test_grouped_signatures_are_those_of_each_row(spark):
+    """Rows may repeat a key or have none; every pair of six differing slots at most shares one of seven bands."""
+    texts = [(1, "a b c a"), (1, "x y"), (None, "a b c"), (2, ""), (3, None), (4, " ".join(f"w{i}" for i in range(400)))]
+    rows = spark.createDataFrame(texts, "k bigint, text string").withColumn("t", F.filter(F.split("text", " "), lambda w: w != ""))
+    want = rows.select("k", stats.minhash_signature(F.col("t")).alias("sig")).where(F.size("sig") > 0).collect()
+    got = stats.minhash_signed(rows, "k", "t").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4
+    base = [f"w{i}" for i in range(400)]
+    near = spark.createDataFrame([(i, base[: 400 - 6 * i]) for i in range(8)], "k bigint, t array<string>")
+    sig = {r["k"]: r["sig"] for r in stats.minhash_signed(near, "k", "t").collect()}
+    alike = {(a, b): sum(x == y for x, y in zip(sig[a], sig[b])) / 64 for a in sig for b in sig if a < b and sig[a] != sig[b]}
+    found = {(r["left"], r["right"]): r["similarity"] for r in stats.minhash_pairs(near, "k", "t").collect() if not r["copy"]}
+    of = {a: min(b for b in sig if sig[b] == sig[a]) for a in sig}
+    assert found == {p: x for p, x in alike.items() if x >= 0.9 and all(of[k] == k for k in p)} and found
+
+
 def test_near_copies_by_brute_force(spark, tmp_path):
     from embermill.plans.queries import QUERIES
 
