@@ -231,10 +231,22 @@ def repeated_places(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, cfg: Passages = Passages()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words that stay, joined by one space."""
-    keyed = _keyed(docs)
-    joined = keyed.join(repeated_places(docs, cfg), ["doc_id", "variant"], "left").select(
-        "doc_id", "text", "starts", "lengths"
-    )
+    runs = repeated_places(docs, cfg)
+    # Only documents that lose words meet their spans in a join; a filter lets the others' texts stay where they are read.
+    named = F.xxhash64("doc_id", "variant")
+    bits = bloom_bits(runs.count(), cfg.most_bits)
+    losing = docs.sparkSession.sparkContext.broadcast(bloom_of(runs.select(named.alias("h")), bits))
+
+    @F.arrow_udf("boolean")
+    def loses(h: pa.Array) -> pa.Array:
+        from embermill.llm.shingles import in_bloom
+
+        return pa.array(in_bloom(losing.value, bits, h.to_numpy(zero_copy_only=False).view(np.uint64)).astype(bool))
+
+    keyed = _keyed(docs).withColumn("loses", loses(named))
+    joined = keyed.where("loses").join(runs, ["doc_id", "variant"], "left").select("doc_id", "text", "starts", "lengths")
+    none = F.lit(None).cast("array<int>")
+    joined = joined.union(keyed.where("NOT loses").select("doc_id", "text", none.alias("starts"), none.alias("lengths")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

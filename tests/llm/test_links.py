@@ -406,3 +406,15 @@ def test_filters_are_intersected_for_each_pair():
         for j, b in enumerate(map(set, sets)):
             if 100 * len(a & b) >= cfg.percent * len(a | b):
                 assert pair[i, j]
+
+
+def test_texts_that_lose_nothing_stay_out_of_the_join(spark):
+    """Only documents with spans are shuffled with their text; the others come from a second branch, each once."""
+    r = random.Random(4)
+    shared = prose(r, 30)
+    rows = [(i, prose(r, 40) + (" " + shared if i < 4 else ""), "en", "s", 0) for i in range(40)]
+    out = substrings.remove_repeats(spark.createDataFrame(rows + [(None, shared, "en", "s", 0)], DOC))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    got = {g["doc_id"]: g["n_removed"] for g in out.collect()}
+    assert len(got) == 41 and [i for i in got if got[i]] == [i for i in got if i in (1, 2, 3)] and got[1] == 30
