@@ -8,6 +8,10 @@ document without words; rows that repeat are documents each (but for the join,
 where they are copies of one another); an empty table gives an empty table; an
 input's further columns are dropped, whatever their names.  Ties are settled by
 hashes of doc_id and text, never by the order rows come in, so reruns agree.
+
+Stages share their executors, whose heaps are full after the first ones, so Python
+workers and Arrow are held to what is left beside them: batches of ``BATCH_BYTES``
+for the session, and encoders of ``CACHE_BYTES`` that go with their task.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from embermill.llm import jaccard, mixing, packing, personal, shared, toxicity
 from embermill.llm.queries import vocabulary
 
+BATCH_BYTES = 2 << 20
+CACHE_BYTES = 60_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,6 +31,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Without labels to learn from, nothing is rejected.
     """
+    shared.bound_batches(spark, BATCH_BYTES)
     return toxicity.keep_clean(docs.select(COLUMNS), shared.load(spark, sf_dir, "labels")).select(COLUMNS)
 
 
@@ -34,6 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     It is that of the smallest doc_id, a null one last. Documents without words are in no group and stay, once
     for each doc_id and text.
     """
+    shared.bound_batches(spark, BATCH_BYTES)
     return jaccard.keep_first(docs.select(COLUMNS), jaccard.Join(n=5, percent=80)).select(COLUMNS)
 
 
@@ -52,7 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 tokens; a document without text is its end id, copies are packed each on their own."""
-    return packing.packing_digest(docs.select(COLUMNS), vocabulary("byte_bpe_50k.json"), end_id=1)
+    shared.bound_batches(spark, BATCH_BYTES)
+    return packing.packing_digest(docs.select(COLUMNS), vocabulary("byte_bpe_50k.json"), end_id=1, cache_bytes=CACHE_BYTES)
 
 
 def _counted(docs: DataFrame) -> DataFrame:

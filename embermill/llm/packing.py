@@ -119,13 +119,16 @@ def pack_documents(
     row_bytes: int = 64,
     seed: int = 17,
     slack: float = 0.002,
+    cache_bytes: int | None = None,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text) with their ids, sequence and offset.
 
     Texts are encoded where they are read; one shuffle carries the ids (two
     bytes each while the vocabulary allows) to the groups.  A document weighs its
     text and ``row_bytes``, so empty ones fill a group too; a task takes a few groups
-    at any input.
+    at any input.  With ``cache_bytes``, a worker keeps no more of its encoder's pieces
+    and gives the encoder up with each task: idle workers take turns, and each would
+    hold one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -135,9 +138,9 @@ def pack_documents(
     tasks = min(groups, max(executors_parallelism(spark), -(-groups // 8)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from embermill.llm.encoding import encoder, with_end
+        from embermill.llm.encoding import encoder, forget_encoders, with_end
 
-        enc = encoder(shared.value)
+        enc = encoder(shared.value, cache_bytes=cache_bytes)
         small = enc.tokenizer.get_vocab_size() <= 65_536 and end_id < 65_536
         kind = "<u2" if small else "<u4"
         for batch in batches:
@@ -156,6 +159,9 @@ def pack_documents(
                     names=["doc_id", "bucket", "width", "ids"],
                 )
                 done += len(ends)
+        if cache_bytes is not None:
+            del enc
+            forget_encoders()
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         from embermill.llm.encoding import _give_back

@@ -78,3 +78,43 @@ def test_stages_on_nothing_and_with_clashing_columns(spark, tmp_path, empty, cla
             assert out.columns == corpus_pipeline.COLUMNS
         if name in ("toxicity", "pii"):
             assert len(rows) == clashing.count()
+
+
+def test_stages_bound_what_workers_hold(spark, tmp_path):
+    """Long texts cross in batches bounded by bytes, and packing leaves no encoder in a worker that lives on."""
+    from embermill.llm import packing
+    from embermill.llm.queries import vocabulary
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = [(i, f"word{i} " * 30_000, "en", "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOC).coalesce(1)
+    try:
+        corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+
+        def sizes(batches):
+            for b in batches:
+                yield type(b).from_pydict({"n": [b.nbytes]})
+
+        most = docs.select("text").mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+        assert most <= 2 * corpus_pipeline.BATCH_BYTES < sum(len(r[1]) for r in rows)
+
+        pieces = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))
+        whole = packing.packing_digest(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
+        assert pieces.exceptAll(whole).count() == 0 == whole.exceptAll(pieces).count()
+
+        def held(batches):
+            from embermill.llm import encoding
+
+            for b in batches:
+                yield type(b).from_pydict({"n": [sum(not k.endswith(" None") for k in encoding._ENCODERS)]})
+
+        assert spark.range(64).repartition(16).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+    finally:
+        spark.conf.set(key, before)
+    from embermill.llm import encoding
+
+    enc = encoding.encoder(vocabulary("byte_bpe_50k.json"), cache_bytes=5_000)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    enc.encode(texts)
+    assert 0 < enc.held <= 5_000
